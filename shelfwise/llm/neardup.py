@@ -6,8 +6,8 @@ j plus a random fraction, and each place keeps its least value. Places are visit
 at once, and a set stops early: once every place holds less than j, later layers change nothing.
 
 Texts with equal sets are one class from the start. Each band's bucket first compares its members to one of
-them, and what is found is grouped; only buckets whose members still lie in several groups go on, to other centres
-and at last to every pair of members of different groups. So a bucket of copies costs one comparison a member, no
+them, and what is found is grouped; only buckets whose members still lie in several groups go on, to another centre
+and at last to all members of other groups, block by block. So a bucket of copies costs one comparison a member, no
 link is lost to a limit, and every link is confirmed on the words themselves.
 
 Null, empty and wordless texts have empty sets and link with nothing. Fewer than five words make one shingle.
@@ -32,8 +32,8 @@ SHINGLE, PLACES, ROWS = 5, 128, 4
 SHARE = 75  # of the union, in hundredths
 #: Shingles whose permutations are drawn at a time.
 ELEMENTS = 1 << 16
-#: Rounds of one centre a bucket, before pairs.
-CENTRES = 3
+#: Rounds of one centre a bucket, before blocks; bytes of a block.
+CENTRES, BLOCK_BYTES = 2, 2 << 20
 
 
 
@@ -215,38 +215,75 @@ def components(links: DataFrame) -> DataFrame:
     return links.limit(0).select(F.col("a").alias("node"), F.col("b").alias("root")) if whole is None else whole
 
 
+def within_blocks(open_members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different groups that share a bucket and whose sets are alike enough by their hashes.
+
+    open_members: bucket, node, root. Members that buckets connect are a cluster; a cluster is cut into blocks of
+    bounded size, and each two blocks of it meet in one task, which gives out only what it found.
+    """
+    centre = open_members.groupBy("bucket").agg(F.min("node").alias("b"))
+    reach = components(open_members.select("bucket", F.col("node").alias("a")).join(centre, "bucket").where("a != b").select("a", "b").distinct())
+    each = open_members.groupBy("node", "root").agg(F.collect_list("bucket").alias("buckets")).join(reach.withColumnRenamed("root", "cluster"), "node")
+
+    def make():
+        return lambda nodes, roots, buckets, clusters, t: [
+            (n, r, b, c, e.tobytes()) for n, r, b, c, e in zip(nodes, roots, buckets, clusters, element_hashes([words(x) for x in t]))
+        ]
+
+    schema = "node binary, root binary, buckets array<bigint>, cluster binary, elements binary"
+    each = cut_lineage(map_slices(each.join(texts, "node").select("node", "root", "buckets", "cluster", "text"), schema, make))
+    sizes = each.groupBy("cluster").agg(F.sum(F.length("elements") + 64).alias("size")).select("cluster", F.ceil(F.col("size") / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = each.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "buckets", "elements")
+
+    def meet(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block, node, root, buckets = (table.column(c).to_pylist() for c in ("block", "node", "root", "buckets"))
+        sets = [frozenset(np.frombuffer(e, np.uint64).tolist()) for e in table.column("elements").to_pylist()]
+        of_bucket: dict[int, list[int]] = {}
+        for k in (k for k in range(len(node)) if block[k] == j):
+            for b in buckets[k]:
+                of_bucket.setdefault(b, []).append(k)
+        found = []
+        for k in (k for k in range(len(node)) if block[k] == i):
+            one, n = sets[k], len(sets[k])
+            for m in {m for b in buckets[k] for m in of_bucket.get(b, ())}:
+                two = sets[m]
+                if root[k] != root[m] and (i != j or k < m) and 100 * min(n, len(two)) >= SHARE * max(n, len(two)):
+                    both = len(one & two)
+                    if 100 * both >= SHARE * (n + len(two) - both):
+                        found.append((node[k], node[m]))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(meet, "a binary, b binary")
+
+
 def grouped(classes: DataFrame, texts_of) -> DataFrame:
     """(node, root) of the classes that link with others. classes: node, n_shingles, bands; texts_of(nodes): node, text."""
     each = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     crowded = cut_lineage(each.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket"))
     members = cut_lineage(each.join(crowded, "bucket"))
     texts = cut_lineage(texts_of(members.select("node").distinct()))
-    roots, links, tested = None, None, None
+    now, roots, links, tested = members.withColumn("root", F.col("node")), None, None, None
     for turn in range(CENTRES + 1):
         if roots is not None:
+            # A bucket whose members are all of one group has nothing left to find.
             known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             mixed = known.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("bucket")
-            # A bucket whose members are all of one group has nothing left to find.
             now = cut_lineage(known.join(mixed, "bucket"))
-        else:
-            now = members.withColumn("root", F.col("node"))
         if now.isEmpty():
             break
-        a = now.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        if turn < CENTRES:
-            first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root") if turn else F.struct("node", "n", "root")
-            centre = cut_lineage(now.groupBy("bucket").agg(F.min(first).alias("c")))
-            b = centre.select("bucket", F.col("c.node").alias("b"), F.col("c.n").alias("n_b"), F.col("c.root").alias("root_b"))
-        else:
-            b = now.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-        alike = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SHARE) & (F.col("root_a") != F.col("root_b"))
-        pairs = a.join(b, "bucket").where(alike).where("a != b" if turn < CENTRES else "a < b").select("a", "b").distinct()
         if turn < CENTRES:
-            pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            a = now.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+            centre = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root")).alias("c"))
+            b = cut_lineage(centre.select("bucket", F.col("c.node").alias("b"), F.col("c.n").alias("n_b"), F.col("c.root").alias("root_b")))
+            alike = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SHARE) & (F.col("root_a") != F.col("root_b"))
+            pairs = a.join(b, "bucket").where(alike).select("a", "b").distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
         else:
-            pairs = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = within_blocks(now.select("bucket", "node", "root"), texts)
         pairs = cut_lineage(pairs)
         found = cut_lineage(linked(pairs, texts))
         tested = pairs if tested is None else tested.unionByName(pairs)
