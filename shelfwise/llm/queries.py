@@ -89,18 +89,18 @@ WITH d AS (
     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM benchmark
 ), p AS (
-  SELECT item_id, w, unnest(range(0, greatest(1, len(w) - 12))) AS at FROM i WHERE len(w) > 0
+  SELECT item_id, w, unnest(range(0, greatest(1, len(w) - 12))) AS pos FROM i WHERE len(w) > 0
 ), windows AS (
-  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[at + 1 : at + 13], ' ') AS s FROM p
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[pos + 1:pos + 13], ' ') AS s FROM p
 ), sizes AS (
   SELECT DISTINCT n FROM windows
 ), places AS (
-  SELECT r, w, n, unnest(range(0, len(w) - n + 1)) AS at FROM d, sizes WHERE len(w) >= n
+  SELECT r, w, n, unnest(range(0, len(w) - n + 1)) AS pos FROM d, sizes WHERE len(w) >= n
 ), found AS (
-  SELECT places.r, places.at, places.n, windows.item_id
-  FROM places JOIN windows ON windows.n = places.n AND windows.s = array_to_string(places.w[places.at + 1 : places.at + places.n], ' ')
+  SELECT places.r, places.pos, places.n, windows.item_id
+  FROM places JOIN windows ON windows.n = places.n AND windows.s = array_to_string(places.w[places.pos + 1:places.pos + places.n], ' ')
 ), hit AS (
-  SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(at, at + n)) AS k FROM found) GROUP BY r
+  SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(pos, pos + n)) AS k FROM found) GROUP BY r
 ), items AS (
   SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY r
 )
@@ -113,7 +113,7 @@ WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, array_to_string(w[at + 1 : at + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS at FROM d WHERE len(w) > 0)
+  SELECT DISTINCT doc_id, array_to_string(w[pos + 1:pos + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS pos FROM d WHERE len(w) > 0)
 ), n AS (
   SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), links AS (
