@@ -52,6 +52,11 @@ def token_signature(text: Column, least: int = 3) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.filter(tokens(text), lambda t: F.length(t) >= least))), " ")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed one time, however often a lambda in use reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def windows(items: Column, width: int, between: str) -> Column:
     """Distinct runs of `width` neighbours, joined: shifted arrays are zipped, so the cost is linear."""
     many = F.size(items) - width + 1
