@@ -128,3 +128,21 @@ def containment(a: Column, b: Column) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def ocr_form(text: Column) -> Column:
+    """Lower case, yo as ye, other characters as single spaces; markup is text like any other."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(filled(text)), F.lit("ё"), F.lit("е")), "[^0-9a-zа-я]+", " "))
+
+
+def masked_quantity(name: Column, words: int = 3, letters: int = 10) -> Column:
+    """Numbers that stand alone are '#', mixed tokens stay; empty unless one is masked beside enough words and letters."""
+    parts = F.filter(F.split(ocr_form(name), " "), lambda t: t != "")
+
+    def form(w: Column) -> Column:
+        alpha = F.filter(w, lambda t: t.rlike("^[a-zа-я]+$"))
+        masked = F.transform(w, lambda t: F.when(t.rlike("^[0-9]+$"), "#").otherwise(t))
+        enough = F.array_contains(masked, "#") & (F.size(alpha) >= words) & (F.length(F.array_join(alpha, "")) >= letters)
+        return F.when(enough, F.array_join(masked, " ")).otherwise("")
+
+    return once(parts, form)

@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfwise.operators.windows import bucketed
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where checkpoints go: what the cluster names, and only where it names none, as in tests, a local folder."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a shared folder")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Rows kept in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -60,3 +73,33 @@ def overlap_pairs(rows: DataFrame, node: str, items: Column, least: int, share:
     both = F.size(F.array_intersect("items_a", "items_b"))
     out = pairs.join(one, "a").join(two, "b").withColumn("jaccard", both / (F.col("n_a") + F.col("n_b") - both))
     return out.where(F.col("jaccard") >= share).select("a", "b", "rare", "jaccard")
+
+
+def hamming_pairs(rows: DataFrame, node: str, value: str, bits: int, most: int) -> DataFrame:
+    """Pairs (a, b, distance) whose values differ in at most `most` of their bits.
+
+    The bits are cut into most + 1 bands, of which one at least is equal in such a pair; equal values meet once by value.
+    """
+    width = -(-bits // (most + 1))
+    band = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.shiftright(F.col(value), i * width).bitwiseAND(2**width - 1).alias("v")) for i in range(most + 1))))
+    each = rows.select(F.col(node).alias("node"), F.col(value).alias("h"), band.alias("band"))
+    a, b = (each.select("band", F.col("node").alias(x), F.col("h").alias(f"h_{x}")) for x in ("a", "b"))
+    distance = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b")))
+    return a.join(b, "band").where("a < b").withColumn("distance", distance).where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+
+
+def nearest_below(queries: DataFrame, donors: DataFrame, key: str, value: str) -> DataFrame:
+    """queries with below, the greatest donor key not above theirs, and prior, that donor's value.
+
+    Donor keys are distinct. Both sides are cut into the same ranges; a range's queries before its first donor take
+    the last donor of the ranges before, so no range sees more than its own rows and one carried row.
+    """
+    both = queries.withColumn("donor_", F.lit(None).cast("struct<k:double,v:double>")).withColumn("query_", F.lit(1)).unionByName(
+        donors.select(key, F.struct(F.col(key).cast("double").alias("k"), F.col(value).cast("double").alias("v")).alias("donor_"), F.lit(0).alias("query_")), allowMissingColumns=True
+    )
+    cut = bucketed(both, key)
+    ends = cut.groupBy("bucket_").agg(F.max("donor_").alias("end_"))
+    ends = ends.select("bucket_", F.max("end_").over(Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)).alias("carried_"))
+    near = F.max("donor_").over(Window.partitionBy("bucket_").orderBy(key, "query_").rowsBetween(Window.unboundedPreceding, 0))
+    found = cut.withColumn("near_", near).join(F.broadcast(ends), "bucket_").where("query_ = 1").withColumn("near_", F.coalesce("near_", "carried_"))
+    return found.select(*queries.columns, F.col("near_.k").alias("below"), F.col("near_.v").alias("prior"))

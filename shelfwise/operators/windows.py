@@ -47,6 +47,26 @@ def running_totals(df: DataFrame, key: str, sums: dict[str, str], descending: bo
     return out.select(*df.columns, *((F.col(f"{n}_before") + F.sum(c).over(within)).alias(n) for n, c in sums.items()))
 
 
+def ordinal(df: DataFrame, score: str, tie: str, by: list[str], descending: bool = False) -> DataFrame:
+    """place_ (from 0, ties by the tie column), average_ (from 1, ties share it), size_ of the tie and n_ of the group.
+
+    Equal scores are counted before anything is ordered, so a group of a few categories is no task of its own.
+    Rows whose score or group is null are left out.
+    """
+    blocks = df.groupBy(*by, score).agg(F.count("*").alias("size_"))
+    seen = running_totals(blocks, score, {"seen_": "size_"}, descending, by)
+    n = blocks.groupBy(*by).agg(F.sum("size_").alias("n_"))
+    within = F.row_number().over(Window.partitionBy(*by, score).orderBy(tie))
+    out = df.withColumn("in_", within).join(seen, [*by, score]).join(n, by)
+    before = F.col("seen_") - F.col("size_")
+    return out.select(*df.columns, (before + F.col("in_") - 1).alias("place_"), (before + (F.col("size_") + 1) / 2).alias("average_"), "size_", "n_")
+
+
+def scaled_place(place: Column, n: Column) -> Column:
+    """0 to 1; the only row of a group gets 0."""
+    return F.when(n > 1, place / (n - 1)).otherwise(0.0)
+
+
 def leave_one_out(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """loo_count and loo_mean of the other rows of the group; null mean when alone."""
     stats = df.groupBy(*by).agg(F.count(value).alias("n_"), F.sum(value).alias("s_"))

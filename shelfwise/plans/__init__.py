@@ -1 +1,3 @@
+"""Queries that combine the operators over the driver's tables; importing this package registers them."""
 
+from shelfwise.plans import relations, scores, storage, texts  # noqa: F401

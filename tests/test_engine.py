@@ -2,12 +2,13 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise import plans  # noqa: F401  (registers its queries)
 from shelfwise.functions import text as T
 from shelfwise.operators import metrics, resolution, windows
 from shelfwise.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "benchmark", "labels", "orders", "lineitem", "customer", "part", "events")
+TABLES = ("documents", "embeddings", "benchmark", "labels", "orders", "lineitem", "customer", "part", "events", "nation", "region", "conversations")
 
 
 def rows(records):
