@@ -1,11 +1,12 @@
 """Main text of web pages, by wrappers inferred from pages of the same host.
 
-A page becomes a stream of container tags and text places. A host's wrapper is a union-free regular expression: the
-stream of its first page, aligned with one page after another. Equal tokens stay, texts become slots, a run that
-repeats becomes a repeated group, and what only one side has becomes an optional group. Slots below containers
-that hold menus, adverts, forms, notices, comments and the like are boilerplate; the host's main container is the
-article that the wrapper holds, else the container whose slots hold most text. Extraction reads every page whole, with
-its host's wrapper.
+A page becomes a tree of containers with the texts of its blocks. A host's wrapper is a union-free regular expression
+over such trees, and one page after another is aligned with it, container by container: a container that a page has
+not becomes optional, one that it has more than once a repeated group, a text that all pages have at the same path of
+containers is the host's template, and other texts are slots. Texts below containers that hold menus, adverts, forms,
+notices, comments and the like are boilerplate. Extraction reads every page whole and matches it with its host's wrapper:
+what is neither boilerplate nor template, of the article where a page has one. Where a page of the host has no text
+besides what all share (as the only page of a host), nothing tells template from content, and nothing is template.
 
 A wrapper is learned from at most SALTS pages of a host, those of least hash in each of SALTS parts of its pages, so
 no host is too large for a task; pages are never shuffled for extraction. Null and empty html give empty text.
@@ -15,9 +16,14 @@ repeated are extracted each by itself. Only the named columns are read.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+from collections import Counter
+from collections.abc import Collection, Iterable
+from functools import reduce
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +32,6 @@ from shelfwise.llm.batches import map_rows
 from shelfwise.llm.tables import cut_lineage, salted_lookup
 
 SALTS = 16
-#: Tokens of a page that a wrapper is learned from; extraction has no such limit.
-WRAPPER_TOKENS = 1500
 #: Bytes of all wrappers together that may be broadcast; beyond, pages are joined with them.
 BROADCAST_BYTES = 32 << 20
 
@@ -90,6 +94,10 @@ def read(page: str):
                 yield ("block",)
 
 
+def digest(*parts: str) -> str:
+    return hashlib.blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
 class Place:
     """The open containers while a page is read."""
 
@@ -98,6 +106,8 @@ class Place:
         self.names: list[str] = []
         self.labels: list[str] = []
         self.below: list[bool] = []  # below boilerplate, or boilerplate
+        self.paths: list[str] = [""]  # digests of the names down to each, classes aside
+        self.seen: dict[str, list] = {}  # of each path its parent, name and how often it was opened, in page order
 
     def open(self, name: str, tag: str) -> None:
         plain = not boilerplate(name, tag)
@@ -112,195 +122,145 @@ class Place:
         self.names.append(name)
         self.labels.append(label(name, tag))
         self.below.append(inherited or not plain)
+        known = name + "!" * self.below[-1]
+        self.paths.append(digest(self.paths[-1], known))
+        self.seen.setdefault(self.paths[-1], [self.paths[-2], known, 0])[2] += 1
 
     def close(self, name: str) -> None:
         if name in self.names:
             at = len(self.names) - 1 - self.names[::-1].index(name)
-            del self.names[at:], self.labels[at:], self.below[at:], self.own[at:]
-
-
-# ---- inference ----
+            del self.names[at:], self.labels[at:], self.below[at:], self.own[at:], self.paths[at + 1 :]
 
 
-def stream(page: str) -> list[str]:
-    """Tokens of a page for alignment: '<label', '>' and '#n', a text of n characters."""
-    out, place = [], Place()
-    for event in read(page):
-        if len(out) >= WRAPPER_TOKENS:
-            break
+def blocks(events: Iterable[tuple], place: Place):
+    """The texts of a page's blocks that have any; while one is given, the place is its own."""
+    current: list[str] = []
+    for event in chain(events, [("block",)]):
+        if event[0] == "text":
+            current.append(event[1])
+            continue
+        if current:
+            if text := " ".join(html.unescape("".join(current)).split()):
+                yield text
+            current.clear()
         if event[0] == "open":
-            place.open(*event[1:])
-            out.append(f"<{place.labels[-1]}{'!' if place.below[-1] else ''}")
+            place.open(event[1], event[2])
         elif event[0] == "close":
             place.close(event[1])
-            out.append(f"/{event[1]}")
-        elif event[0] == "text" and event[1].strip():
-            if out and out[-1][0] == "#":
-                out[-1] = f"#{int(out[-1][1:]) + len(event[1])}"
-            else:
-                out.append(f"#{len(event[1])}")
-    return out
-
-
-Node = list  # [kind, value]: tag t; slot characters; rep nodes; opt nodes
-
-
-def same(a: Node, b: Node) -> bool:
-    if a[0] != b[0]:
-        return False
-    if a[0] == "tag":
-        return a[1] == b[1]
-    return a[0] == "slot" or len(a[1]) == len(b[1]) and all(map(same, a[1], b[1]))
-
-
-def fold(nodes: list[Node]) -> list[Node]:
-    """Adjacent equal runs of up to eight nodes, tags or groups among them, become one repeated group."""
-    out: list[Node] = []
-    for node in nodes:
-        out.append(node)
-        again = True
-        while again:
-            again = False
-            for n in range(1, min(8, len(out)) + 1):
-                tail = out[-n:]
-                if not any(x[0] in ("tag", "rep") for x in tail):
-                    continue
-                if len(out) > n and out[-n - 1][0] == "rep" and len(out[-n - 1][1]) == n and all(map(same, out[-n - 1][1], tail)):
-                    out[-n - 1] = ["rep", combine(out[-n - 1][1], tail)]
-                    del out[-n:]
-                    again = True
-                    break
-                if len(out) >= 2 * n and all(map(same, out[-2 * n : -n], tail)) and any(x[0] == "tag" for x in tail):
-                    out[-2 * n :] = [["rep", combine(out[-2 * n : -n], tail)]]
-                    again = True
-                    break
-    return out
-
-
-def combine(a: list[Node], b: list[Node]) -> list[Node]:
-    """Of two equal runs the sums of their slots' characters."""
-    return [["slot", x[1] + y[1]] if x[0] == "slot" else x if x[0] == "tag" else [x[0], combine(x[1], y[1])] for x, y in zip(a, b)]
-
-
-def nodes_of(tokens: list[str]) -> list[Node]:
-    return fold([["slot", int(t[1:])] if t[0] == "#" else ["tag", t] for t in tokens])
-
-
-def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
-    """The wrapper generalised so that it also reads the page."""
-    out: list[Node] = []
-    i = j = 0
-    while i < len(wrapper) and j < len(page):
-        w, p = wrapper[i], page[j]
-        if same(w, p):
-            out += combine([w], [p])
-        elif w[0] == "opt" and len(page) - j >= len(w[1]) and all(map(same, w[1], page[j : j + len(w[1])])):
-            out.append(["opt", combine(w[1], page[j : j + len(w[1])])])
-            j += len(w[1]) - 1
-        elif w[0] == "opt":
-            out.append(w)
-            j -= 1
-        elif w[0] == "rep" and (n := len(w[1])) and len(page) - j >= n and all(map(same, w[1], page[j : j + n])):
-            out.append(["rep", combine(w[1], page[j : j + n])])  # once instead of often
-            j += n - 1
-        elif p[0] == "rep" and (n := len(p[1])) and len(wrapper) - i >= n and all(map(same, wrapper[i : i + n], p[1])):
-            out.append(["rep", combine(wrapper[i : i + n], p[1])])
-            i += n - 1
-        elif w[0] == p[0] == "rep":
-            out.append(["rep", align(w[1], p[1])])
+
+
+def text_key(path: str, text: str, seen: dict[str, int]) -> str:
+    """A text at a path, numbered among its equals there."""
+    key = digest(path, text)
+    seen[key] = n = seen.get(key, 0) + 1
+    return key if n == 1 else f"{key}.{n}"
+
+
+# ---- inference ----
+
+#: tags: of each path [parent, name, least place in a page, least and most often on a page, most texts]; texts: those
+#: that every page has, with their paths; least: texts outside boilerplate of the page that has fewest.
+Wrapper = dict
+
+
+def stream(page: str) -> Wrapper:
+    """The wrapper of one page: its tags, and all its texts outside boilerplate."""
+    place, texts, counts, seen = Place(), {}, {}, {}
+    for text in blocks(read(page), place):
+        if not (place.below and place.below[-1]):
+            path = place.paths[-1]
+            counts[path] = counts.get(path, 0) + 1
+            texts[text_key(path, text, seen)] = path
+    tags = {path: [parent, name, at, n, n, counts.get(path, 0)] for at, (path, (parent, name, n)) in enumerate(place.seen.items())}
+    if "" in counts:
+        tags[""] = [None, "", -1, 1, 1, counts[""]]
+    return {"tags": tags, "texts": texts, "least": len(texts)}
+
+
+def align(a: Wrapper, b: Wrapper) -> Wrapper:
+    """The wrapper that reads what either reads. Equal texts at equal paths stay, others become slots; a container that
+    one has not is optional, one that it has more than once is repeated. Order, grouping and repeats don't matter."""
+    tags = {}
+    for path in {**a["tags"], **b["tags"]}:
+        x, y = a["tags"].get(path), b["tags"].get(path)
+        if x and y:
+            tags[path] = [*x[:2], min(x[2], y[2]), min(x[3], y[3]), max(x[4], y[4]), max(x[5], y[5])]
         else:
-            skip_w = next((k for k in range(i + 1, min(len(wrapper), i + 60)) if same(wrapper[k], p)), None)
-            skip_p = next((k for k in range(j + 1, min(len(page), j + 60)) if same(w, page[k])), None)
-            if skip_w is not None and (skip_p is None or skip_w - i <= skip_p - j):
-                out.append(["opt", wrapper[i:skip_w]])
-                i = skip_w
-            elif skip_p is not None:
-                out.append(["opt", page[j:skip_p]])
-                j = skip_p
-            else:
-                out += [["opt", [w]], ["opt", [p]]]
-                i, j = i + 1, j + 1
-            continue
-        i, j = i + 1, j + 1
-    return out + [x if x[0] == "opt" else ["opt", [x]] for x in [*wrapper[i:], *page[j:]]]
-
-
-def infer(pages: list[list[str]]) -> list[Node]:
-    wrapper: list[Node] = []
-    for k, tokens in enumerate(sorted(pages, key=lambda t: (len(t), t))):
-        wrapper = nodes_of(tokens) if k == 0 else align(wrapper, nodes_of(tokens))
-    return wrapper
-
-
-def expression(wrapper: list[Node]) -> str:
-    """The wrapper as a regular expression over tokens."""
-    return " ".join(n[1] if n[0] == "tag" else "#" if n[0] == "slot" else f"({expression(n[1])}){'+' if n[0] == 'rep' else '?'}" for n in wrapper)
-
-
-def main_container(wrapper: list[Node]) -> str:
-    """The label of the container whose content is the main text; empty: all that isn't boilerplate."""
-    weight: dict[str, int] = {}
-    stack: list[str] = []
-
-    def walk(nodes: list[Node]) -> None:
-        for kind, value in nodes:
-            if kind == "tag" and value[0] == "<":
-                stack.append(value[1:])
-            elif kind == "tag":
-                name = value[1:]
-                for at in range(len(stack) - 1, -1, -1):
-                    if re.split(r"[.!]", stack[at])[0] == name:
-                        del stack[at:]
-                        break
-            elif kind == "slot":
-                if stack and not any(s.endswith("!") for s in stack):
-                    weight[stack[-1]] = weight.get(stack[-1], 0) + value
-                    for s in stack:
-                        if s.split(".")[0] in ("article", "main"):
-                            weight[s] = weight.get(s, 0) + 1_000_000_000
-            else:
-                walk(value)
-
-    walk(wrapper)
+            z = x or y
+            tags[path] = [*z[:3], 0, *z[4:]]
+    return {"tags": tags, "texts": {k: p for k, p in a["texts"].items() if k in b["texts"]}, "least": min(a["least"], b["least"])}
+
+
+def infer(pages: list[Wrapper]) -> Wrapper:
+    """One wrapper of many; pages without text outside boilerplate say nothing."""
+    told = [p for p in pages if p["least"]]
+    return reduce(align, told) if told else stream("")
+
+
+def template(wrapper: Wrapper) -> list[str]:
+    """Texts of the host and not of its pages. None where a page has no other text: nothing tells the two apart there."""
+    return sorted(wrapper["texts"]) if wrapper["least"] > len(wrapper["texts"]) else []
+
+
+def slots(wrapper: Wrapper) -> list[str]:
+    """Paths with texts that aren't the template's."""
+    fixed = Counter(wrapper["texts"][k] for k in template(wrapper))
+    return [path for path, tag in wrapper["tags"].items() if tag[5] > fixed[path]]
+
+
+def ordered(tags: dict[str, list]) -> list[str]:
+    return sorted(tags, key=lambda p: (tags[p][2], p))
+
+
+def expression(wrapper: Wrapper) -> str:
+    """The wrapper as a regular expression over tokens: template texts are '=', slots are '#'."""
+    tags, free, fixed = wrapper["tags"], set(slots(wrapper)), Counter(wrapper["texts"][k] for k in template(wrapper))
+    below: dict[str, list[str]] = {}
+    for path in ordered(tags):
+        if path:
+            below.setdefault(tags[path][0], []).append(path)
+    out: list[str] = []
+    todo: list = [("", True)]
+    while todo:
+        path, entering = todo.pop()
+        _, name, _, least, most, _ = tags.get(path, [None, "", -1, 1, 1, 0])
+        mark = ("+" if least else "*") if most > 1 else "" if least else "?"
+        if entering:
+            if path:
+                out.append("(" * bool(mark) + "<" + name)
+            out += ["="] * fixed[path] + ["#"] * (path in free)
+            todo += [(path, False), *((p, True) for p in reversed(below.get(path, [])))]
+        elif path:
+            out.append("/" + name.rstrip("!") + (")" + mark if mark else ""))
+    return " ".join(out)
+
+
+def main_container(wrapper: Wrapper) -> str:
+    """The name of the container whose content is the main text; empty: all that isn't boilerplate."""
+    tags, weight = wrapper["tags"], Counter()
+    for path in slots(wrapper):
+        weight[tags[path][1]] += tags[path][5]
+    for path in ordered(tags):
+        if tags[path][1] in ("article", "main"):
+            return tags[path][1]
     best = max(sorted(weight), key=weight.get, default="")
-    return best if best.split(".")[0] in ("article", "main") or weight.get(best, 0) > 0.6 * sum(weight.values()) else ""
-
+    return best if weight.get(best, 0) > 0.6 * sum(weight.values()) else ""
 
 # ---- extraction ----
 
 
-def extract(page: str | None, main: str | None = None) -> str:
-    """Main text: blocks in page order, joined by one space. main: the wrapper's main container."""
+def extract(page: str | None, main: str | None = None, fixed: Collection[str] = ()) -> str:
+    """Main text: blocks in page order, joined by one space. main: the wrapper's main container; fixed: its template's texts."""
     if not page:
         return ""
-    events = list(read(page))
-    name = (main or "article").split(".")[0]
-    candidates = [main] if main else []
-    labels = {label(e[1], e[2]) for e in events if e[0] == "open" and not boilerplate(e[1], e[2])}
-    inside = next((c for c in [*candidates, "article", "main"] if c in labels), None)
-    inside = inside or next((x for x in sorted(labels) if x.split(".")[0] in {name, "article", "main"} & {"article", "main"}), None)
-    blocks, current, place = [], [], Place()
-
-    def flush() -> None:
-        if current:
-            text = " ".join(html.unescape("".join(current)).split())
-            if text:
-                blocks.append(text)
-            current.clear()
-
-    for event in events:
-        kind = event[0]
-        if kind == "text":
-            if not (place.below and place.below[-1]) and (inside is None or inside in place.labels):
-                current.append(event[1])
-        else:
-            flush()
-            if kind == "open":
-                place.open(event[1], event[2])
-            elif kind == "close":
-                place.close(event[1])
-    flush()
-    return " ".join(blocks)
+    place, fixed, seen, out, events = Place(), set(fixed), {}, [], list(read(page))
+    names = {e[1] for e in events if e[0] == "open" and not boilerplate(e[1], e[2])}
+    inside = next((c for c in (main, "article", "main") if c in names), None)
+    for text in blocks(events, place):
+        if not (place.below and place.below[-1]) and not (fixed and text_key(place.paths[-1], text, seen) in fixed):
+            if inside is None or inside in place.names:
+                out.append(text)
+    return " ".join(out)
 
 
 def host(url):
@@ -308,7 +268,7 @@ def host(url):
 
 
 def learn(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper and main, one row for each host."""
+    """host, wrapper, main and fixed, the template's texts: one row for each host."""
 
     def make():
         def row(h, part, order, page):
@@ -324,18 +284,18 @@ def learn(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     def make_wrapper():
         def row(h, streams):
             w = infer([json.loads(s) for s in streams])
-            return h, expression(w), main_container(w)
+            return h, expression(w), main_container(w), template(w)
 
         return row
 
-    return map_rows(chosen, "host string, wrapper string, main string", make_wrapper)
+    return map_rows(chosen, "host string, wrapper string, main string, fixed array<string>", make_wrapper)
 
 
 def texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Id, url, text and n_chars of every page."""
     wrappers = cut_lineage(learn(pages, url_col, html_col))
-    small = (wrappers.agg(F.sum(F.length("host") + F.length("main") + 32)).first()[0] or 0) <= BROADCAST_BYTES
-    table = wrappers.select(F.col("host").alias("host_"), "main")
+    small = (wrappers.agg(F.sum(F.length("host") + F.length("main") + 32 + 24 * F.size("fixed"))).first()[0] or 0) <= BROADCAST_BYTES
+    table = wrappers.select(F.col("host").alias("host_"), "main", "fixed")
     some = pages.select(F.col(id_col), F.col(url_col), host(F.col(url_col)).alias("host_"), F.col(html_col).alias("page_"))
     if small:
         joined = some.join(F.broadcast(table), "host_", "left")
@@ -343,12 +303,12 @@ def texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         joined = salted_lookup(some, table, "host_", F.col("page_"))
 
     def make():
-        def row(key, url, page, main):
-            text = extract(page, main)
+        def row(key, url, page, main, fixed):
+            text = extract(page, main, fixed or ())
             return key, url, text, len(text)
 
         return row
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", text string, n_chars bigint"
-    return map_rows(joined.select(id_col, url_col, "page_", "main"), schema, make)
+    return map_rows(joined.select(id_col, url_col, "page_", "main", "fixed"), schema, make)

@@ -158,6 +158,16 @@ def test_html():
     assert wrappers.main_container(w) == "article" and ")?" in wrappers.expression(w)
 
 
+def test_html_template_texts(spark):
+    """What every page of a host says at the same place isn't content; what some say, or one page alone, is."""
+    page = lambda i: f"<body><div class=x{i}>We moved!</div><article><p>body {i}<p>shared {i % 2}<div>Read on</div></article></body>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(4)] + [(9, "http://b.example/", page(9)), (10, "http://a.example/none", None)]
+    plain = lambda i: f"<body><div class=x{i}>We moved!</div><div><p>body {i}</div></body>"
+    rows += [(20 + i, f"http://c.example/{i}", plain(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in wrappers.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"body {i} shared {i % 2}" for i in range(4)}, 9: "body 9 shared 1 Read on", 10: "", **{20 + i: f"body {i}" for i in range(3)}}
+
+
 @pytest.mark.parametrize("kind", ["toxic", "quality"])
 def test_held_out_accuracy(spark, kind):
     sf = "/root/testdata/sf0.01"
