@@ -40,6 +40,9 @@ SKIPPED = "script|style|noscript|template|svg|iframe|textarea|select|button|titl
 CONTAINERS = frozenset("html body main article section div nav header footer aside form ul ol dl table tr td th blockquote figure dialog fieldset details head".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre br hr figcaption thead tbody tfoot caption summary address legend option address center".split())
 VOID = frozenset("br hr img input meta link wbr source track area base col embed param".split())
+ARTICLES = frozenset(("article", "main"))
+#: Elements that hold parts of a content, never all of it.
+PARTS = frozenset("ul ol dl table tr td th blockquote figure details fieldset".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form dialog menu head".split())
 BOILERPLATE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|foot|masthead|header|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|comments?|comment\w*|replies|respond|disqus|related|recommend\w*|widget|toolbar|pagination|pager|login|search|skip|legal|copyright)(?:$|[\s_-])",
@@ -236,15 +239,23 @@ def expression(wrapper: Wrapper) -> str:
 
 
 def main_container(wrapper: Wrapper) -> str:
-    """The name of the container whose content is the main text; empty: all that isn't boilerplate."""
-    tags, weight = wrapper["tags"], Counter()
-    for path in slots(wrapper):
-        weight[tags[path][1]] += tags[path][5]
+    """The name of the container whose content is the main text; empty: the page itself. The article that the wrapper
+    holds, else the lowest container above all slots that is no list, table or quote."""
+    tags = wrapper["tags"]
     for path in ordered(tags):
         if tags[path][1] in ("article", "main"):
             return tags[path][1]
-    best = max(sorted(weight), key=weight.get, default="")
-    return best if weight.get(best, 0) > 0.6 * sum(weight.values()) else ""
+    common: list[str] | None = None
+    for path in slots(wrapper):
+        if tags[path][5]:
+            above = [path]
+            while above[-1]:
+                above.append(tags[above[-1]][0])
+            above.reverse()
+            common = above if common is None else [a for a, b in zip(common, above) if a == b]
+    while common and common[-1] and tags[common[-1]][1] in PARTS:
+        common.pop()
+    return tags[common[-1]][1] if common and common[-1] else ""
 
 # ---- extraction ----
 
@@ -253,14 +264,15 @@ def extract(page: str | None, main: str | None = None, fixed: Collection[str] =
     """Main text: blocks in page order, joined by one space. main: the wrapper's main container; fixed: its template's texts."""
     if not page:
         return ""
-    place, fixed, seen, out, events = Place(), set(fixed), {}, [], list(read(page))
-    names = {e[1] for e in events if e[0] == "open" and not boilerplate(e[1], e[2])}
-    inside = next((c for c in (main, "article", "main") if c in names), None)
-    for text in blocks(events, place):
-        if not (place.below and place.below[-1]) and not (fixed and text_key(place.paths[-1], text, seen) in fixed):
-            if inside is None or inside in place.names:
-                out.append(text)
-    return " ".join(out)
+    place, fixed, seen, every, marked = Place(), set(fixed), {}, [], []
+    for text in blocks(read(page), place):
+        if place.below and place.below[-1] or fixed and text_key(place.paths[-1], text, seen) in fixed:
+            continue
+        every.append(text)
+        if any(n in ARTICLES and not own for n, own in zip(place.names, place.own)):
+            marked.append(text)
+    # A main container that is no article holds all slots of the host: what is left of its pages is content.
+    return " ".join(marked if marked and (main is None or main in ARTICLES) else every)
 
 
 def host(url):

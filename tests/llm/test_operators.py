@@ -168,6 +168,17 @@ def test_html_template_texts(spark):
     assert got == {**{i: f"body {i} shared {i % 2}" for i in range(4)}, 9: "body 9 shared 1 Read on", 10: "", **{20 + i: f"body {i}" for i in range(3)}}
 
 
+def test_html_keeps_text_beside_the_largest_container(spark):
+    page = lambda i: f"<body><div class=content><p>lead {i}</p><ul><li>{'long ' * 99}{i}</ul></div></body>"
+    several = lambda i: f"<body><article class=lead>first {i}</article><article class=story>{'long ' * 99}{i}</article></body>"
+    rows = [(k + i, f"http://{h}.example/{i}", f(i)) for k, h, f in ((0, "a", page), (10, "b", several)) for i in range(3)]
+    got = {r.page_id: r.text for r in wrappers.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    long = "long " * 99
+    assert got == {**{i: f"lead {i} {long}{i}" for i in range(3)}, **{10 + i: f"first {i} {long}{i}" for i in range(3)}}
+    for body, main in (("<div><p>a{0}</p><ul><li>b{0}</ul></div>", "div"), ("<section><table><tr><td>a{0}<td>b{0}</table></section>", "section"), ("<p>a{0}", "body")):
+        assert wrappers.main_container(wrappers.infer([wrappers.stream(f"<body>{body}</body>".format(i)) for i in range(3)])) == main
+
+
 @pytest.mark.parametrize("kind", ["toxic", "quality"])
 def test_held_out_accuracy(spark, kind):
     sf = "/root/testdata/sf0.01"
