@@ -8,8 +8,9 @@ notices, comments and the like are boilerplate. Extraction reads every page whol
 what is neither boilerplate nor template, of the article where a page has one. Where a page of the host has no text
 besides what all share (as the only page of a host), nothing tells template from content, and nothing is template.
 
-A wrapper is learned from at most SALTS pages of a host, those of least hash in each of SALTS parts of its pages, so
-no host is too large for a task; pages are never shuffled for extraction. Null and empty html give empty text.
+A wrapper is learned from all pages of a host, whole: each slice of pages gives a wrapper of its own, and these are
+aligned with each other in SALTS parts, then once more, so no host is too large for a task; pages are never shuffled.
+Equal wrappers count once and the alignment is the same in any order. Null and empty html give empty text.
 Null urls and urls without a host are one host. Unclosed, stray and mis-nested tags are tolerated. Pages
 repeated are extracted each by itself. Only the named columns are read.
 """
@@ -28,10 +29,11 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.batches import map_rows
+from shelfwise.llm.batches import map_rows, map_slices
 from shelfwise.llm.tables import cut_lineage, salted_lookup
 
-SALTS = 16
+#: Parts that the wrappers of a host are first merged in.
+SALTS = 64
 #: Bytes of all wrappers together that may be broadcast; beyond, pages are joined with them.
 BROADCAST_BYTES = 32 << 20
 
@@ -279,27 +281,38 @@ def host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
+def packed(wrapper: Wrapper) -> str:
+    return json.dumps(wrapper, sort_keys=True)
+
+
 def learn(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper, main and fixed, the template's texts: one row for each host."""
+    """host, wrapper, main and fixed, the template's texts: one row for each host that has text."""
 
     def make():
-        def row(h, part, order, page):
-            return h, part, order, json.dumps(stream(page or ""), ensure_ascii=False)
+        def rows_of(hosts, htmls):
+            found: dict[str, Wrapper] = {}
+            for h, page in zip(hosts, htmls):
+                w = stream(page or "")
+                if w["least"]:
+                    found[h] = align(found[h], w) if h in found else w
+            return [(h, packed(w)) for h, w in found.items()]
 
-        return row
+        return rows_of
 
-    order = F.xxhash64(url_col, html_col)
-    some = pages.select(host(F.col(url_col)).alias("host"), F.pmod(order, F.lit(SALTS)).cast("int").alias("part"), order.alias("order"), F.col(html_col).alias("page"))
-    streams = map_rows(some, "host string, part int, order bigint, tokens string", make)
-    chosen = streams.groupBy("host", "part").agg(F.min(F.struct("order", "tokens")).alias("s")).groupBy("host").agg(F.sort_array(F.collect_list("s.tokens")).alias("streams"))
+    def make_merged():
+        return lambda h, found: (h, packed(infer([json.loads(w) for w in found])))
 
     def make_wrapper():
-        def row(h, streams):
-            w = infer([json.loads(s) for s in streams])
+        def row(h, found):
+            w = infer([json.loads(x) for x in found])
             return h, expression(w), main_container(w), template(w)
 
         return row
 
+    some = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("page"))
+    parts = map_slices(some, "host string, wrapper string", make).withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
+    merged = map_rows(parts.groupBy("host", "part").agg(F.collect_set("wrapper").alias("found")).drop("part"), "host string, wrapper string", make_merged)
+    chosen = merged.groupBy("host").agg(F.collect_set("wrapper").alias("found"))
     return map_rows(chosen, "host string, wrapper string, main string, fixed array<string>", make_wrapper)
 
 

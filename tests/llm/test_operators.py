@@ -179,6 +179,14 @@ def test_html_keeps_text_beside_the_largest_container(spark):
         assert wrappers.main_container(wrappers.infer([wrappers.stream(f"<body>{body}</body>".format(i)) for i in range(3)])) == main
 
 
+def test_html_wrappers_learn_from_all_pages(spark):
+    """One page of very many, and what comes after very many tokens, counts too; order and partitions don't."""
+    page = lambda i: "<body>" + "<div><p>x{0}</div>".format(i) * 900 + f"<section><p>Notice<p>{'Offer' if i != 77 else 'Text'}</section></body>"
+    d = spark.createDataFrame([(i, "http://a.example/", page(i)) for i in range(150)], "page_id long, url string, html string")
+    some = {n: {r.page_id: r.text.split()[900:] for r in wrappers.texts(d.repartition(n)).collect()} for n in (1, 7)}
+    assert some[1] == some[7] == {i: ["Offer" if i != 77 else "Text"] for i in range(150)}
+
+
 @pytest.mark.parametrize("kind", ["toxic", "quality"])
 def test_held_out_accuracy(spark, kind):
     sf = "/root/testdata/sf0.01"
