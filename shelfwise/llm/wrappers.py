@@ -46,36 +46,48 @@ ARTICLES = frozenset(("article", "main"))
 #: Elements that hold parts of a content, never all of it.
 PARTS = frozenset("ul ol dl table tr td th blockquote figure details fieldset".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form dialog menu head".split())
+#: A whole class or id: words that name boilerplate, and words of place or shape beside at least one of them.
 BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|foot|masthead|header|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|comments?|comment\w*|replies|respond|disqus|related|recommend\w*|widget|toolbar|pagination|pager|login|search|skip|legal|copyright)(?:$|[\s_-])",
+    r"(?:(?:site|page|top|bottom|left|right|main|primary|secondary|global|mobile)[_-]+)*"
+    r"(?:(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsors|sponsored|promo|promos|promoted|promotions?|nav|navbar|navigation|navi|menu|menus|menubar|breadcrumbs?|sidebar|side|footer|foot|masthead|header|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|comments?|replies|respond|disqus|related|recommended|recommendations?|widget|toolbar|pagination|pager|login|search|skip|legal|copyright)"
+    r"(?:[_-]+(?:bar|box|wrapper|wrap|container|area|block|slot|unit|link|links|list|buttons|form|inner|[0-9]+))*(?:[_-]+|\Z))+",
     re.I,
 )
+#: The only names that make an article boilerplate; html, body and main never are by name.
+ARTICLE_NAMES = frozenset("comment comments comment-body reply ad ads advert advertisement".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<({SKIPPED})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[/!?]?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
 NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 def attributes(tag: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(tag)}
+    """Attributes by name, each read whole, so that no value is taken for a name; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(tag, NAME.match(tag).end()):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
 
 
 def boilerplate(name: str, tag: str) -> bool:
     """Whether a container says of itself that it holds no content."""
     if name in BOILERPLATE_TAGS:
         return True
-    if " " not in tag:
+    a = attributes(tag) if len(tag) > len(name) + 2 else {}
+    if name == "header" or name in ("html", "body") or not a:
         return name == "header"
-    a = attributes(tag)
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in BOILERPLATE_ROLES:
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in BOILERPLATE_ROLES:
         return True
-    return name == "header" or bool(BOILERPLATE_NAMES.search(a.get("class", "")) or BOILERPLATE_NAMES.search(a.get("id", "")))
+    names = [*a.get("class", "").split(), *a.get("id", "").split()]
+    if name in ARTICLES:
+        return name == "article" and any(n.lower() in ARTICLE_NAMES for n in names)
+    return any(BOILERPLATE_NAMES.fullmatch(n) for n in names)
 
 
 def label(name: str, tag: str) -> str:
-    a = attributes(tag) if " " in tag else {}
+    a = attributes(tag)
     return f"{name}.{' '.join(sorted(a.get('class', '').split()))}" if a.get("class") else name
 
 

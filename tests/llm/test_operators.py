@@ -187,6 +187,18 @@ def test_html_wrappers_learn_from_all_pages(spark):
     assert some[1] == some[7] == {i: ["Offer" if i != 77 else "Text"] for i in range(150)}
 
 
+@pytest.mark.parametrize("tag", ['<div style="overflow:hidden">', '<div title="a hidden id=ad class=ad">', '<div data-class="ad">', '<div class="post category-legal">', '<div class="no-sidebar">', '<div class="commentary">', '<article class="post comments-open">', '<article id="legal">', '<main class="menu">', '<body class="single no-sidebar">', '<body class="menu">'])
+def test_html_content_is_no_boilerplate(tag):
+    assert not wrappers.boilerplate(re.match(r"<(\w+)", tag)[1], tag)
+    assert wrappers.extract(f"{tag}<p>text") == "text"
+
+
+@pytest.mark.parametrize("tag", ["<nav>", "<header>", "<div hidden>", "<div\nclass=ad>", "<div class='x ad'>", "<div id=cookie-banner>", '<div class="site-header">', '<div class="comments-list">', "<div class=main_menu>", '<div aria-hidden="true">', "<section role=banner>", "<article class=comment>"])
+def test_html_boilerplate_by_name(tag):
+    assert wrappers.boilerplate(re.match(r"<(\w+)", tag)[1], tag)
+    assert wrappers.extract(f"<p>text</p>{tag}<p>no") == "text"
+
+
 @pytest.mark.parametrize("kind", ["toxic", "quality"])
 def test_held_out_accuracy(spark, kind):
     sf = "/root/testdata/sf0.01"
