@@ -36,7 +36,7 @@ MORE = {
     "vendor": re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|npm_[A-Za-z0-9]{30,})"),
     "signed": re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "private": re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}-----END [A-Z ]{0,30}PRIVATE KEY-----"),
-    "entropy": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])"),
+    "entropy": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])"),
 }
 #: What any of the further patterns needs.
 HINT = re.compile(r"[A-Za-z0-9+/_-]{24}|xox[abprs]-|sk_live_|eyJ|glpat-|PRIVATE KEY")
@@ -64,7 +64,7 @@ def more_spans(text: str, taken: list[Span]) -> list[tuple[Span, str]]:
     for kind, pattern in MORE.items():
         for m in pattern.finditer(text):
             v = m[0]
-            if kind == "entropy" and not (any(map(str.isupper, v)) and any(map(str.islower, v)) and entropy(v) >= 3.8):
+            if kind == "entropy" and not (any(map(str.isupper, v)) and any(map(str.islower, v)) and any(map(str.isdigit, v)) and entropy(v) >= 3.8):
                 continue
             if used.claim(*m.span()):
                 out.append(((kind, *m.span()), v))

@@ -199,6 +199,12 @@ def test_html_boilerplate_by_name(tag):
     assert wrappers.extract(f"<p>text</p>{tag}<p>no") == "text"
 
 
+@pytest.mark.parametrize("token", ["q8Zr41LmPx77ttAbC9dE2fGh" * 8, "abcdEFGHijklMNOPqrstUVWXyz" * 2 + "7", "q8Zr41LmPx77ttAbC9dE2fGh"])
+def test_secret_tokens_of_any_length(token):
+    assert secrets.more_spans(f"is {token}== so", []) == [(("entropy", 3, 5 + len(token)), token + "==")]
+    assert secrets.more_spans("is " + re.sub("[0-9]", "x", token), []) == []
+
+
 @pytest.mark.parametrize("kind", ["toxic", "quality"])
 def test_held_out_accuracy(spark, kind):
     sf = "/root/testdata/sf0.01"
