@@ -2,11 +2,11 @@
 
 A scan of each text gives certain spans (assignments, access keys, long hexadecimal runs) and further
 candidates (prefixed tokens, signed tokens, private keys, high-entropy strings). The hash of every candidate's
-value is counted over all documents and all owners: a value that many owners hold is a copied example; one
-that few hold looks live. Live-looking further candidates add spans; certain spans stay, with their verdict.
+value is counted over all documents and all owners: a value that many owners or many different documents hold is a
+copied example; one that few hold looks live. Documents stand for repositories, for which the tables have no column. Live-looking further candidates add spans; certain spans stay, with their verdict.
 
-Null text counts as empty. A document without an owner is an owner of its own. Repeated rows count as
-documents of their own. Only the named columns are read; their names may clash with nothing.
+Null text counts as empty. A document without an owner is an owner of its own. Documents of equal text count as one
+where documents are counted: a text that is copied whole doesn't make its secrets examples. Repeated rows keep their rows. Only the named columns are read; their names may clash with nothing.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ BASE = ["assign", "access", "hex"]
 KINDS = [*BASE, "vendor", "signed", "private", "entropy"]
 #: From so many distinct owners on, a value is a widely copied example.
 EXAMPLE_OWNERS = 4
+#: Or from so many different documents on: more than owners, since one owner may keep a live value in some files.
+EXAMPLE_DOCUMENTS = 8
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: The longest runs are what + finds, so a least length in the pattern keeps the same matches and none is retried.
@@ -96,19 +98,22 @@ def candidates(df: DataFrame, keep: tuple[str, ...], text_col: str = "text") ->
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_found and n_owners, from rows (owner, hash): counted before each shuffle, so no value is hot."""
-    held = found.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return held.groupBy("hash").agg(F.sum("n").alias("n_found"), F.count("*").alias("n_owners"))
+    """hash, n_documents and n_owners, from rows (owner, copy, hash): counted before each shuffle, so no value is hot."""
+    holder = lambda by, c: F.struct(F.lit(by).alias("by"), F.col(c).cast("string").alias("name"))
+    held = found.select("hash", F.explode(F.array(holder("document", "copy"), holder("owner", "owner"))).alias("h")).select("hash", "h.*").distinct()
+    return held.groupBy("hash").agg(F.count_if(F.col("by") == "document").alias("n_documents"), F.count_if(F.col("by") == "owner").alias("n_owners"))
 
 
-def scan(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS, example_documents: int = EXAMPLE_DOCUMENTS) -> DataFrame:
     """The columns of `keep` and spans, by start, then kind as listed: an array of struct(start, rank, stop, kind, live)
     of every certain span and of every further candidate that looks live."""
-    rows = candidates(df.select(*keep, F.col(owner_col).cast("string").alias("owner_"), F.col(text_col).alias("text_")), (*keep, "owner_"), "text_")
+    named = df.select(*keep, F.col(owner_col).cast("string").alias("owner_"), F.xxhash64(text_col).alias("copy_"), F.col(text_col).alias("text_"))
+    rows = candidates(named, (*keep, "owner_", "copy_"), "text_")
     rows = cut_lineage(rows.withColumn("row_", F.monotonically_increasing_id()))
-    each = rows.where(F.size("found") > 0).select("row_", F.coalesce("owner_", F.concat(F.lit("\0"), "row_")).alias("owner"), F.explode("found").alias("f"))
-    each = each.select("row_", "owner", "f.*")
-    live = ownership(each.select("owner", "hash")).where(F.col("n_owners") < example_owners).select("hash", F.lit(True).alias("live"))
+    each = rows.where(F.size("found") > 0).select("row_", F.coalesce("owner_", F.concat(F.lit("\0"), "row_")).alias("owner"), F.col("copy_").alias("copy"), F.explode("found").alias("f"))
+    each = each.select("row_", "owner", "copy", "f.*")
+    few = (F.col("n_owners") < example_owners) & (F.col("n_documents") < example_documents)
+    live = ownership(each.select("owner", "copy", "hash")).where(few).select("hash", F.lit(True).alias("live"))
     judged = salted_lookup(each, live, "hash", "row_").withColumn("live", F.coalesce("live", F.lit(False)))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     spans = judged.where(F.col("live") | F.col("kind").isin(BASE)).groupBy("row_").agg(

@@ -205,6 +205,13 @@ def test_secret_tokens_of_any_length(token):
     assert secrets.more_spans("is " + re.sub("[0-9]", "x", token), []) == []
 
 
+def test_secret_copied_over_documents_of_few_owners(spark):
+    copied, own = "token = 'EXAMPLEKEY12345'", "token = 'q8Zr41LmPx77tt'"
+    rows = [(i, f"{i} {copied}", "s1") for i in range(8)] + [(10 + i, own, "s1") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id: r.n_live for r in secrets.digests(d).collect()} == {**dict.fromkeys(range(8), 0), **{10 + i: 1 for i in range(20)}}
+
+
 @pytest.mark.parametrize("kind", ["toxic", "quality"])
 def test_held_out_accuracy(spark, kind):
     sf = "/root/testdata/sf0.01"
