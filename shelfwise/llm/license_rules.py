@@ -31,7 +31,7 @@ x11 | 4 | x11 license | (?:the )?x11 license
 isc | 7 | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
 isc | 5 | spdx license identifier isc | spdx license identifier isc
 isc | 5 | opensource org licenses isc | opensource org licenses isc
-isc | 4 | isc license | (?:the )?isc licen[cs]e
+isc | 4 | isc licen | (?:the )?isc licen[cs]e
 apache-2 | 8 | apache license version 2 0 | licensed under (?:the )?apache license version 2 0
 apache-2 | 7 | apache org licenses license 2 0 | (?:https? )?(?:www )?apache org licenses license 2 0(?: txt| html)?
 apache-2 | 6 | you may not use this file except in compliance with the license | you may not use this file except in compliance with the license you may obtain a copy of the license at
@@ -70,8 +70,9 @@ bsd-2-clause | 5 | freebsd license | (?:the )?freebsd license
 bsd-4-clause | 5 | original bsd license | (?:the )?original bsd license
 bsd-4-clause | 5 | 4 clause bsd license | (?:the )?4 clause bsd license
 0bsd | 5 | zero clause bsd | (?:bsd )?zero clause bsd(?: license)?
-bsd | 2 | bsd license | (?:the |a )?bsd(?: style| type)? license
-bsd | 2 | bsd style license | bsd style license
+bsd | 2 | bsd license | (?:the |a )?bsd license
+bsd | 2 | bsd style license | (?:the |a )?bsd style license
+bsd | 2 | bsd type license | (?:the |a )?bsd type license
 gpl-3 | 8 | gnu general public license version 3 | (?:the )?gnu general public license version 3(?: 0)?(?: or (?:any )?later(?: version)?)?
 gpl-3 | 8 | gnu general public license as published by the free software foundation | gnu general public license as published by the free software foundation (?:either )?version 3
 gpl-2 | 8 | gnu general public license as published by the free software foundation | gnu general public license as published by the free software foundation (?:either )?version 2
@@ -89,7 +90,7 @@ gpl-2 | 6 | gplv2 | (?:gnu )?gplv2
 gpl-2 | 6 | gpl 2 0 | (?:gnu )?gpl 2 0
 gpl-2 | 6 | gpl v2 | (?:gnu )?gpl v2
 gpl | 5 | gnu org licenses gpl | (?:www )?gnu org licenses gpl(?: html| txt)?
-gpl | 3 | gnu general public license | (?:the )?gnu general public licen[cs]e
+gpl | 3 | gnu general public licen | (?:the )?gnu general public licen[cs]e
 gpl | 3 | gnu general public licence | (?:the )?gnu general public licence
 gpl | 3 | gnu gpl | (?:the )?gnu gpl
 gpl | 2 | licensed under the gpl | licensed under the gpl
@@ -168,7 +169,7 @@ elastic-2 | 6 | elastic license 2 0 | elastic license 2 0
 elastic | 4 | elastic license | (?:the )?elastic license
 zlib | 6 | this software is provided as is without any express or implied warranty | this software is provided as is without any express or implied warranty in no event will the authors be held liable
 zlib | 5 | spdx license identifier zlib | spdx license identifier zlib
-zlib | 4 | zlib license | (?:the )?zlib(?: libpng)? license
+zlib | 4 | zlib license | (?:the )?zlib license
 zlib | 4 | zlib libpng license | (?:the )?zlib libpng license
 libpng | 4 | libpng license | (?:the )?libpng license
 unlicense | 7 | this is free and unencumbered software released into the public domain | this is free and unencumbered software released into the public domain
@@ -233,7 +234,7 @@ psf | 4 | python software foundation license | (?:the )?python software foundati
 php-3.01 | 6 | php license version 3 01 | (?:the )?php license version 3 01
 php | 3 | php license | (?:the )?php license
 ruby | 4 | ruby license | (?:the )?ruby license
-postgresql | 5 | postgresql license | (?:the )?postgresql licen[cs]e
+postgresql | 5 | postgresql licen | (?:the )?postgresql licen[cs]e
 ncsa | 5 | university of illinois ncsa open source license | (?:the )?university of illinois ncsa open source license
 ncsa | 4 | ncsa open source license | ncsa open source license
 ms-pl | 5 | microsoft public license | (?:the )?microsoft public license(?: ms pl)?

@@ -212,6 +212,40 @@ def test_secret_copied_over_documents_of_few_owners(spark):
     assert {r.doc_id: r.n_live for r in secrets.digests(d).collect()} == {**dict.fromkeys(range(8), 0), **{10 + i: 1 for i in range(20)}}
 
 
+def spellings(pattern):
+    """A text for each way through a pattern's branches, options and letters of a choice; of ranges the first."""
+    def of(items):
+        out = [""]
+        for kind, value in items:
+            name = str(kind)
+            if name == "LITERAL":
+                ways = [chr(value)]
+            elif name == "NOT_LITERAL":
+                ways = ["x"]
+            elif name == "IN":
+                ways = ["x"] if str(value[0][0]) == "NEGATE" else [chr(v if str(k) == "LITERAL" else v[0]) for k, v in value]
+            elif name == "BRANCH":
+                ways = [w for branch in value[1] for w in of(branch)]
+            elif name == "SUBPATTERN":
+                ways = of(value[-1])
+            else:
+                least, most, part = value
+                ways = [w * n for n in {least, min(most, least + 1)} for w in of(part)]
+            out = [a + w for a in out for w in ways]
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_license_keywords_are_in_every_spelling(spark):
+    for _, label, _, keyword, pattern in licenses.rules():
+        for text in spellings(pattern):
+            assert re.fullmatch(pattern, text) and keyword in text, (label, text)
+    texts = ["the isc licence", "postgresql licence", "a bsd type license", "the bsd style license", "zlib libpng license"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["isc", "postgresql", "bsd", "bsd", "zlib"]
+
+
 @pytest.mark.parametrize("kind", ["toxic", "quality"])
 def test_held_out_accuracy(spark, kind):
     sf = "/root/testdata/sf0.01"
