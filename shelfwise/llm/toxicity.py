@@ -2,7 +2,7 @@
 
 A word's input joins what is known of the word and of its character n-grams: log-odds of the label, counted
 over documents, and embeddings that are learned with the network. The network reads windows of 32 words; every
-text is scored in all windows, each overlapping the next by 8 words, and its score is that of its worst window,
+text is scored in windows that start every 8 words, each sharing 24 with the next, and its score is that of its worst window,
 calibrated on documents. Training is in numpy, on a bounded sample of labelled rows, and the same for the same rows.
 
 Null, empty and wordless texts get the score of a window without words. Long texts have as many windows as
@@ -25,7 +25,7 @@ from shelfwise.llm.decontaminate import words
 #: Labelled rows that are learned from, at most: those with the smallest hashes.
 SAMPLE_ROWS = 4000
 #: Of these the network itself is fitted on so many windows, two a document.
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 8
 HIDDEN, LEARNED, GRAM_BUCKETS, GRAMS = 8, 3, 1 << 15, (3, 4, 5)
 INPUT = 2 + LEARNED + 2 + LEARNED
 #: Steps of the optimiser, at least.

@@ -246,6 +246,12 @@ def test_license_keywords_are_in_every_spelling(spark):
     assert [r.labels for r in got] == ["isc", "postgresql", "bsd", "bsd", "zlib"]
 
 
+def test_toxicity_windows_hold_clusters_whole():
+    for n in (1, 32, 33, 60, 100, 257):
+        starts = toxicity.windows_of(n)
+        assert all(any(s <= a and min(a + 25, n) <= s + toxicity.WINDOW for s in starts) for a in range(n))
+
+
 @pytest.mark.parametrize("kind", ["toxic", "quality"])
 def test_held_out_accuracy(spark, kind):
     sf = "/root/testdata/sf0.01"
