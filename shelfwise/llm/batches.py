@@ -51,6 +51,31 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]
     return map_slices(df, schema, make_rows, limit)
 
 
+def packed(df: DataFrame, **values: str | Column) -> DataFrame:
+    """kept, a struct of all columns, beside the values: no name of the rows can clash with a name used inside."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("kept"), *((F.col(f"`{v}`") if isinstance(v, str) else v).alias(k) for k, v in values.items()))
+
+
+def map_beside(df: DataFrame, passed: list[str], read: list[str], schema: str, make: Callable[[], Callable[..., tuple]], limit: int = SLICE_BYTES) -> DataFrame:
+    """The columns `passed` as they are, beside new ones: make() gives, once a task, the function of the values of the columns `read`.
+
+    What is passed stays Arrow data, so types and long texts are never turned into Python objects.
+    """
+    wanted = StructType([df.schema[c] for c in passed] + StructType.fromDDL(schema).fields)
+    new = to_arrow_schema(StructType.fromDDL(schema))
+    places, inputs = ([df.columns.index(c) for c in names] for names in (passed, read))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = make()
+        for batch in batches:
+            for part in slices(batch, limit):
+                rows = [row(*values) for values in zip(*(part.column(i).to_pylist() for i in inputs), strict=True)]
+                made = [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), new, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *made], names=wanted.names)
+
+    return df.mapInArrow(run, wanted)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -2,11 +2,13 @@
 
 Every window of 13 consecutive words of a benchmark item (a shorter item is one window) is a pattern of an
 Aho-Corasick automaton over normalised text; one scan of a document's normalised text finds all windows, and
-their places map back to its words and to the original text.
+their places map back to its words and to the original text. Patterns beyond AUTOMATON_BYTES go to further automata,
+and each of those is one more pass over the texts. An automaton is built once a worker, not once a task.
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z lower-cased. Null and wordless
 texts have no words, no hits and aren't contaminated; null or wordless items have no windows. Rows that repeat
-are judged each by itself. Items that share an id count as one item. Only the named columns are read.
+are judged each by itself. Items that share an id count as one item. A text of any length is scanned whole. Empty tables
+give no rows, an empty benchmark no hits. Columns of any name pass through beside those that are read.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.batches import map_rows
+from shelfwise.llm.batches import map_beside, packed
 
 WINDOW_WORDS = 13
 #: A document is contaminated when this share of its words lies inside windows, as hit * MANY >= words.
 MANY = 20
-#: Bytes of patterns in one automaton; further patterns go to further automata, one pass over the text for each.
-AUTOMATON_BYTES = 24 << 20
+#: Bytes of patterns in one automaton, counted as below; measured, an automaton takes 25 times that memory.
+AUTOMATON_BYTES = 8 << 20
 
 #: ASCII letters and digits as lower case, every other ASCII byte as a space; bytes of longer characters stay.
 WORD_BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
@@ -84,6 +86,17 @@ def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(begins[a], ends[b - 1]) for a, b in ranges]
 
 
+_automata: dict[str, ahocorasick.Automaton] = {}
+
+
+def kept_automaton(key: str, patterns: dict[str, tuple[int, list[str]]]) -> ahocorasick.Automaton | None:
+    """The last block's automaton is kept between a worker's tasks."""
+    if patterns and key not in _automata:
+        _automata.clear()
+        _automata[key] = automaton(patterns)
+    return _automata.get(key)
+
+
 def pattern_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW_WORDS):
     """The distinct patterns, in dictionaries of bounded size."""
     block: dict[str, tuple[int, list[str]]] = {}
@@ -103,47 +116,42 @@ def pattern_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str
     yield block
 
 
-def find(df: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", size: int = WINDOW_WORDS) -> DataFrame:
-    """The columns of `keep`, n_words, ranges (disjoint word ranges inside windows), items (sorted ids as strings) and contaminated."""
-    kept = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
-    found = "n_words bigint, ranges array<array<bigint>>, items array<string>, contaminated boolean"
-    out = None
+FOUND = "n_words bigint, ranges array<array<bigint>>, items array<string>, spans array<array<bigint>>, contaminated boolean"
+
+
+def find(rows: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
+    """rows: kept and text. kept, n_words, ranges (disjoint word ranges inside windows), items (sorted ids as strings),
+    spans (the ranges as character ranges of the original text) and contaminated."""
+    out = rows.select("kept", "text", F.lit(None).cast("array<array<bigint>>").alias("ranges"), F.lit(None).cast("array<string>").alias("items"))
     for block in pattern_blocks(benchmark, size=size):
-        shared = df.sparkSession.sparkContext.broadcast(block)
-
-        def make(shared=shared, later=out is not None):
-            auto = automaton(shared.value) if shared.value else None
-
-            def row(*values):
-                if later:
-                    *values, text, before, ids = values
-                else:
-                    *values, text = values
-                    before, ids = [], []
-                n, ranges, items = hits(auto, text) if auto else (len(words(text)), [], set())
-                ranges = merged([*map(tuple, before), *ranges])
+        shared = rows.sparkSession.sparkContext.broadcast(block)
+        key = hashlib.sha256(repr(sorted(block.items())).encode("utf-8", "replace")).hexdigest()
+
+        def make(shared=shared, key=key):
+            auto = kept_automaton(key, shared.value)
+
+            def row(text, ranges, items):
+                n, more, ids = hits(auto, text) if auto else (len(words(text)), [], set())
+                ranges = merged([*map(tuple, ranges or []), *more])
                 hit = sum(b - a for a, b in ranges)
-                last = (n, ranges, sorted({*ids, *items}), hit > 0 and hit * MANY >= n)
-                return (*values, text, *last)
+                return n, ranges, sorted({*(items or []), *ids}), spans(text, ranges) if ranges else [], hit > 0 and hit * MANY >= n
 
             return row
 
-        source = df.select(*keep, text_col) if out is None else out.select(*keep, text_col, "ranges", "items")
-        out = map_rows(source, f"{kept}`{text_col}` string, {found}", make)
-    return out
+        out = map_beside(out.select("kept", "text", "ranges", "items"), ["kept", "text"], ["text", "ranges", "items"], FOUND, make)
+    return out.drop("text")
 
 
 def digests(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW_WORDS) -> DataFrame:
     """Id, n_words, n_hit, n_items, items_sha256 of the sorted item ids joined by commas, and contaminated."""
-    found = find(df, benchmark, (id_col,), text_col, size)
+    found = find(df.select(F.struct(F.col(id_col)).alias("kept"), F.col(text_col).alias("text")), benchmark, size)
     hit = F.aggregate("ranges", F.lit(0).cast("bigint"), lambda a, r: a + r[1] - r[0])
     return found.select(
-        id_col, "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        f"kept.{id_col}", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     """The rows that aren't contaminated, with all their columns."""
-    found = find(df, benchmark, tuple(c for c in df.columns if c != "text"), "text", size)
-    return found.where("not contaminated").select(*df.columns)
+    return find(packed(df, text="text"), benchmark, size).where("not contaminated").select("kept.*")
