@@ -5,8 +5,8 @@ from a root to a node is a rule, a conjunction of thresholds; a lasso on the log
 weights; and rules are compiled back to column expressions, so scoring runs inside Spark without Python.
 
 Null and empty texts have statistics of nothing and are scored as such. Whole texts count, whatever their length.
-With no labels, or one class only, every score is that class's share. Rows that repeat get equal scores. Extra
-columns are not read.
+With no labels, or one class only, every score is that class's share. Rows that repeat get equal scores. Labels
+that are neither 0 nor 1 aren't learned from. Empty tables give no rows. Columns of any name pass through unread.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.batches import held_out
+from shelfwise.llm.batches import held_out, packed
 
 #: Labelled rows that are learned from, at most: those with the smallest hashes.
 SAMPLE_ROWS = 4000
@@ -149,7 +149,7 @@ def train(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3) -> Ensemble:
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Ensemble:
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = chosen.select(id_col, F.col(label_col).cast("int").alias("label_")).orderBy(F.xxhash64(id_col), id_col, "label_").limit(rows)
     sample = df.select(id_col, F.col(text_col).alias("text_")).join(F.broadcast(chosen), id_col)
     got = sample.orderBy(F.xxhash64(id_col, "text_"), "label_").limit(rows).select(statistics(F.col("text_")).alias("s"), "label_").select("s.*", "label_").collect()
@@ -157,20 +157,24 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: st
     return train(data[:, :-1], data[:, -1])
 
 
-def score(df: DataFrame, model: Ensemble, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns of `keep` and score of every row."""
+def scored(rows: DataFrame, model: Ensemble) -> DataFrame:
+    """rows: kept and text. kept and score.
+
+    The score is the element of an array, generated beside the row: a filter on it stays above, and the optimiser can't
+    put the statistics into that filter once for each condition of each rule.
+    """
     if not model.rules:
-        return df.select(*keep, F.lit(1 / (1 + float(np.exp(-model.bias)))).alias("score"))
-    counted = df.select(*(F.col(c) for c in keep), statistics(F.col(text_col)).alias("statistics_"))
-    return counted.select(*keep, model.score(F.col("statistics_")).alias("score"))
+        return rows.select("kept", F.lit(1 / (1 + float(np.exp(-model.bias)))).alias("score"))
+    counted = rows.select("kept", statistics(F.col("text")).alias("statistics"))
+    return counted.select("kept", F.explode(F.array(model.score(F.col("statistics")))).alias("score"))
 
 
 def digests(df: DataFrame, model: Ensemble, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Id, held_out, score and predicted."""
-    out = score(df, model, (id_col,), text_col)
-    return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = scored(df.select(F.col(id_col).alias("kept"), F.col(text_col).alias("text")), model)
+    return out.select(F.col("kept").alias(id_col), held_out(F.col("kept")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_accepted(df: DataFrame, model: Ensemble, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that aren't rejected, with all their columns."""
-    return score(df, model, tuple(df.columns), text_col).where(F.col("score") >= threshold).select(*df.columns)
+    return scored(packed(df, text=text_col), model).where(F.col("score") >= threshold).select("kept.*")
