@@ -3,10 +3,12 @@
 A scan of each text gives certain spans (assignments, access keys, long hexadecimal runs) and further
 candidates (prefixed tokens, signed tokens, private keys, high-entropy strings). The hash of every candidate's
 value is counted over all documents and all owners: a value that many owners or many different documents hold is a
-copied example; one that few hold looks live. Documents stand for repositories, for which the tables have no column. Live-looking further candidates add spans; certain spans stay, with their verdict.
+copied example; one that few hold looks live. Documents stand for repositories, for which the tables have no column.
+Live-looking further candidates add spans; certain spans stay, with their verdict.
 
 Null text counts as empty. A document without an owner is an owner of its own. Documents of equal text count as one
-where documents are counted: a text that is copied whole doesn't make its secrets examples. Repeated rows keep their rows. Only the named columns are read; their names may clash with nothing.
+where documents are counted: a text that is copied whole doesn't make its secrets examples. Repeated rows keep their
+rows. Texts of any length are scanned whole. Empty tables give no rows. Columns of any name pass through unread.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.batches import map_rows
+from shelfwise.llm.batches import map_beside, packed
 from shelfwise.llm.spans import Span, Taken
 from shelfwise.llm.tables import cut_lineage, salted_lookup
 
@@ -81,20 +83,18 @@ def value_hash(value: str) -> int:
 FOUND = "found array<struct<kind string, start bigint, stop bigint, hash bigint>>"
 
 
-def candidates(df: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """The columns of `keep` and found, an array of all candidates of the row."""
+def candidates(rows: DataFrame) -> DataFrame:
+    """rows: kept, owner, copy and text. kept, owner, copy and found, an array of all candidates of the row."""
 
     def make():
-        def row(*values):
-            text = values[-1] or ""
-            base = base_spans(text)
-            both = base + more_spans(text, [s for s, _ in base])
-            return (*values[:-1], [{"kind": k, "start": a, "stop": b, "hash": value_hash(v)} for (k, a, b), v in both])
+        def row(text):
+            base = base_spans(text or "")
+            both = base + more_spans(text or "", [s for s, _ in base])
+            return ([{"kind": k, "start": a, "stop": b, "hash": value_hash(v)} for (k, a, b), v in both],)
 
         return row
 
-    kept = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
-    return map_rows(df.select(*keep, text_col), kept + FOUND, make)
+    return map_beside(rows, ["kept", "owner", "copy"], ["text"], FOUND, make)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -104,23 +104,26 @@ def ownership(found: DataFrame) -> DataFrame:
     return held.groupBy("hash").agg(F.count_if(F.col("by") == "document").alias("n_documents"), F.count_if(F.col("by") == "owner").alias("n_owners"))
 
 
-def scan(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS, example_documents: int = EXAMPLE_DOCUMENTS) -> DataFrame:
-    """The columns of `keep` and spans, by start, then kind as listed: an array of struct(start, rank, stop, kind, live)
-    of every certain span and of every further candidate that looks live."""
-    named = df.select(*keep, F.col(owner_col).cast("string").alias("owner_"), F.xxhash64(text_col).alias("copy_"), F.col(text_col).alias("text_"))
-    rows = candidates(named, (*keep, "owner_", "copy_"), "text_")
-    rows = cut_lineage(rows.withColumn("row_", F.monotonically_increasing_id()))
-    each = rows.where(F.size("found") > 0).select("row_", F.coalesce("owner_", F.concat(F.lit("\0"), "row_")).alias("owner"), F.col("copy_").alias("copy"), F.explode("found").alias("f"))
-    each = each.select("row_", "owner", "copy", "f.*")
+SPANS = "array<struct<start:bigint,rank:bigint,stop:bigint,kind:string,live:boolean>>"
+
+
+def scan(rows: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_documents: int = EXAMPLE_DOCUMENTS) -> DataFrame:
+    """rows: kept, owner and text. kept and spans, by start, then kind as listed: an array of struct(start, rank, stop, kind, live)
+    of every certain span and of every further candidate that looks live. Rows without candidates take part in no shuffle."""
+    found = candidates(rows.select("kept", F.col("owner").cast("string").alias("owner"), F.xxhash64("text").alias("copy"), "text"))
+    found = cut_lineage(found.withColumn("row", F.monotonically_increasing_id()))
+    each = found.where(F.size("found") > 0).select("row", F.coalesce("owner", F.concat(F.lit("\0"), "row")).alias("owner"), "copy", F.explode("found").alias("f"))
+    each = each.select("row", "owner", "copy", "f.*")
     few = (F.col("n_owners") < example_owners) & (F.col("n_documents") < example_documents)
     live = ownership(each.select("owner", "copy", "hash")).where(few).select("hash", F.lit(True).alias("live"))
-    judged = salted_lookup(each, live, "hash", "row_").withColumn("live", F.coalesce("live", F.lit(False)))
+    judged = salted_lookup(each, live, "hash", "row").withColumn("live", F.coalesce("live", F.lit(False)))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    spans = judged.where(F.col("live") | F.col("kind").isin(BASE)).groupBy("row_").agg(
+    spans = judged.where(F.col("live") | F.col("kind").isin(BASE)).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "stop", "kind", "live"))).alias("spans")
     )
-    none = F.array().cast("array<struct<start:bigint,rank:bigint,stop:bigint,kind:string,live:boolean>>")
-    return rows.select(*keep, "row_").join(spans, "row_", "left").select(*keep, F.coalesce("spans", none).alias("spans"))
+    none = F.array().cast(SPANS)
+    some = found.where(F.size("found") > 0).select("kept", "row").join(spans, "row", "left").select("kept", F.coalesce("spans", none).alias("spans"))
+    return found.where(F.size("found") == 0).select("kept", none.alias("spans")).unionByName(some)
 
 
 def spans_text(spans, kinds: list[str] | None = None):
@@ -132,10 +135,10 @@ def spans_text(spans, kinds: list[str] | None = None):
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """Id, n_assign, n_access, n_hex, base_sha256, spans, and n_live, the spans of all kinds whose values look live."""
-    found = scan(df, (id_col,), text_col, owner_col, example_owners)
+    found = scan(df.select(F.struct(F.col(id_col)).alias("kept"), F.col(owner_col).alias("owner"), F.col(text_col).alias("text")), example_owners)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     return found.select(
-        id_col, *map(count, BASE), F.sha2(spans_text(F.col("spans"), BASE), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
+        f"kept.{id_col}", *map(count, BASE), F.sha2(spans_text(F.col("spans"), BASE), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("bigint").alias("n_live"),
     )
 
@@ -143,23 +146,23 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner
 MASK = "[SECRET]"
 
 
-def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """All rows and columns, live-looking values masked in the text; copied examples and all else stay. Null text stays null."""
-    found = scan(df, tuple(df.columns), text_col, owner_col, example_owners)
-
-    def make():
-        def row(*values):
-            *values, text, spans = values
-            live = sorted({(s["start"], s["stop"]) for s in spans if s["live"]}, reverse=True)
-            before = len(text) if text else 0
-            for a, b in live:
-                if a < before:
-                    text = text[:a] + MASK + text[min(b, before) :]
-                    before = a
-            return (*values, text)
+def masked(text: str | None, live: list[tuple[int, int]]) -> str | None:
+    """The text with a mask in place of each range; what overlaps is one range."""
+    before = len(text) if text else 0
+    for a, b in sorted(set(live), reverse=True):
+        if a < before:
+            text = text[:a] + MASK + text[min(b, before) :]
+            before = a
+    return text
 
-        return row
 
-    rest = [c for c in df.columns if c != text_col]
-    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*rest, text_col])
-    return map_rows(found.select(*rest, text_col, "spans"), kept, make).select(*df.columns)
+def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+    """All rows and columns, live-looking values masked in the text; copied examples and all else stay. Null text stays null."""
+    found = scan(packed(df, owner=owner_col, text=text_col), example_owners)
+    live = F.filter("spans", lambda s: s["live"])
+    hidden = map_beside(
+        found.where(F.size(live) > 0).select("kept", F.col("kept").getField(text_col).alias("text"), live.alias("live")), ["kept"], ["text", "live"], "text string",
+        lambda: lambda text, live: (masked(text, [(s["start"], s["stop"]) for s in live]),),
+    )
+    hidden = hidden.select(F.col("kept").withField(f"`{text_col}`", F.col("text")).alias("kept"))
+    return found.where(F.size(live) == 0).select("kept").unionByName(hidden).select("kept.*")
