@@ -5,8 +5,9 @@ Of the hundreds of rules those whose keyword the text holds are matched, each at
 a detection that lies within another of higher priority, or of equal priority and earlier rule, is suppressed.
 Base rules always stay.
 
-Null, empty and wordless texts have no words and no detections. Long texts are scanned whole. Rows are judged each
-by itself, repeated ones too; only the named columns are read.
+Null, empty and wordless texts have no words and no detections. Long texts are scanned whole; what a text costs grows
+with its words, for each rule that it holds, and with its detections times the root of their number. Rows are judged
+each by itself, repeated ones too. Empty tables give no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -47,39 +48,68 @@ def rule_table() -> Column:
     return F.expr("array(" + ", ".join(f"struct({i} AS id, {q(label)} AS label, {p} AS priority, {q(k)} AS keyword, {q(f' (?:{x})(?= )')} AS pattern)" for i, label, p, k, x in rules()) + ")")
 
 
+NOTHING = "array<struct<start:int,stop:int,priority:int,id:int,label:string>>"
+MARK = "\u0001"
+
+
+def once(value: Column, use) -> Column:
+    """The array use(value), with the value computed one time however often it is read."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
 def detections(text: Column) -> Column:
     """An array of struct(start, stop, priority, id, label) of all matches in normalised text; start and stop count words."""
     gate = reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in STEMS])
-    # Cut before each place where the rule matches: pieces begin with a match, and the pieces before count its words.
-    # A match that runs on into the next one ends there.
     some = F.filter(rule_table(), lambda r: F.contains(text, r["keyword"]))
 
     def of_rule(r: Column) -> Column:
-        pieces = F.split(text, F.concat(F.lit("(?="), r["pattern"], F.lit(")")), F.lit(-1))
-        tails = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-        found = F.transform(tails, lambda p: F.struct(spaces(p).alias("words"), F.coalesce(spaces(F.regexp_substr(F.concat(p, F.lit(" ")), r["pattern"])), spaces(p)).alias("length")))
-        first = spaces(F.element_at(pieces, 1))
-        nothing = F.array().cast("array<struct<start:int,stop:int,priority:int,id:int,label:string>>")
-        start = F.struct(first.alias("at"), nothing.alias("out"))
-        one = lambda a, f: F.struct(a["at"].alias("start"), (a["at"] + f["length"]).alias("stop"), r["priority"].alias("priority"), r["id"].alias("id"), r["label"].alias("label"))
-        return F.aggregate(found, start, lambda a, f: F.struct((a["at"] + f["words"]).alias("at"), F.concat(a["out"], F.array(one(a, f))).alias("out")), lambda a: a["out"])
+        # Cut before each place where the rule matches: pieces begin with a match. A match that runs on into the next ends there.
+        return once(F.split(text, F.concat(F.lit("(?="), r["pattern"], F.lit(")")), F.lit(-1)), lambda pieces: F.when(F.size(pieces) > 1, placed(pieces, r)).otherwise(F.array().cast(NOTHING)))
+
+    def placed(pieces: Column, r: Column) -> Column:
+        # The word before a cut gets a mark; its place among the words, which the text's own mark precedes, is the match's start.
+        words = F.split(F.array_join(pieces, MARK), " ")
+        starts = F.filter(F.transform(words, lambda w, i: F.when(F.endswith(w, F.lit(MARK)), i)), lambda i: i.isNotNull())
+        one = lambda at, length: F.struct(at.alias("start"), (at + length).alias("stop"), r["priority"].alias("priority"), r["id"].alias("id"), r["label"].alias("label"))
+        length = lambda p: F.coalesce(spaces(F.regexp_substr(F.concat(p, F.lit(" ")), r["pattern"])), spaces(p))
+        return F.zip_with(starts, F.slice(pieces, 2, F.size(pieces) - 1), lambda at, p: one(at, length(p)))
+
+    return F.when(gate, F.flatten(F.transform(some, of_rule))).otherwise(F.array().cast(NOTHING))
 
-    none = F.array().cast("array<struct<start:int,stop:int,priority:int,id:int,label:string>>")
-    return F.when(gate, F.flatten(F.transform(some, of_rule))).otherwise(none)
+
+#: Detections that are compared one by one, at least; more are cut into chunks of about the root of their number.
+CHUNK = 64
 
 
 def surviving(found: Column) -> Column:
-    """Detections that lie within none of higher priority, nor within one of equal priority that is longer or earlier."""
+    """Detections that lie within none of higher priority, nor within one of equal priority that is longer or earlier.
+
+    In order of start, longest first, then of priority and rule, whatever beats a detection comes before it; so it is
+    enough to know how far those before its chunk reach, by priority, and to look at its own chunk.
+    """
+    place = lambda d: F.struct(d["start"].alias("start"), (-d["stop"]).alias("back"), (-d["priority"]).alias("rank"), d["id"].alias("id"), d.alias("d"))
+    ordered = F.transform(F.array_sort(F.transform(found, place)), lambda o: o["d"])
+    base = lambda d: d["priority"] == BASE_PRIORITY
+
+    def kept(o: Column) -> Column:
+        width = F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.size(o)))).cast("int")
+
+        def of_chunk(k: Column) -> Column:
+            chunk = F.slice(o, k * width + 1, width)
+            before = F.slice(o, F.lit(1), k * width)
+            reach = F.transform(F.sequence(F.lit(1), F.lit(BASE_PRIORITY)), lambda p: F.array_max(F.transform(F.filter(before, lambda e: e["priority"] >= p), lambda e: e["stop"])))
+
+            def beaten(d: Column, by: Column) -> Column:
+                longer = lambda e: (e["stop"] - e["start"]) > (d["stop"] - d["start"])
+                within = lambda e: (e["start"] <= d["start"]) & (d["stop"] <= e["stop"])
+                beats = lambda e: within(e) & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (longer(e) | (~longer(e) & (e["id"] < d["id"])))))
+                return F.coalesce(F.element_at(by, d["priority"]) >= d["stop"], F.lit(False)) | F.exists(chunk, beats)
 
-    def beaten(d: Column) -> Column:
-        def by(e: Column) -> Column:
-            within = (e["start"] <= d["start"]) & (d["stop"] <= e["stop"])
-            longer = (e["stop"] - e["start"]) > (d["stop"] - d["start"])
-            return within & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (longer | (~longer & (e["id"] < d["id"])))))
+            return once(reach, lambda by: F.filter(chunk, lambda d: base(d) | ~beaten(d, by)))
 
-        return F.exists(found, by)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(o) - 1) / width).cast("int")), of_chunk))
 
-    return F.filter(found, lambda d: (d["priority"] == BASE_PRIORITY) | ~beaten(d))
+    return F.when(F.size(found) > 1, once(ordered, kept)).otherwise(found)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
