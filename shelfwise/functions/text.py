@@ -146,3 +146,21 @@ def masked_quantity(name: Column, words: int = 3, letters: int = 10) -> Column:
         return F.when(enough, F.array_join(masked, " ")).otherwise("")
 
     return once(parts, form)
+
+
+def falsy_to_empty(value: Column) -> Column:
+    """Of a number: null and zero are empty; anything else is its text, 'nan' too."""
+    return F.when(F.isnan(value), "nan").when(value.isNull() | (value == 0), "").otherwise(value.cast("string"))
+
+
+def nan_to_empty(value: Column) -> Column:
+    return F.when(value.isNull() | F.isnan(value), "").otherwise(value.cast("string"))
+
+
+def finite(value: Column) -> Column:
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+
+
+def strict_boolean(text: Column) -> Column:
+    """True and false by their exact names; any other text is an error when it is read."""
+    return F.when(text == "true", True).when(text == "false", False).otherwise(F.raise_error(F.concat(F.lit("no boolean: "), F.coalesce(text, F.lit("null")))).cast("boolean"))

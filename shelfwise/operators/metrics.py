@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.windows import running_totals
@@ -49,3 +49,11 @@ def best_threshold(df: DataFrame, score: str, label: str, by: list[str]) -> Data
     scored = blocks.join(total, by).withColumn("f1", f1(F.col("tp"), F.col("seen") - F.col("tp"), F.col("all_pos") - F.col("tp")))
     best = scored.groupBy(*by).agg(F.max(F.struct("f1", score)).alias("best"))
     return best.select(*by, F.col(f"best.{score}").alias("threshold"), "best.f1")
+
+
+def row_sweep(df: DataFrame, score: str, label: str, tie: Column) -> DataFrame:
+    """Every row with seen and tp: rows and positives from the highest score down to it, equal scores in order of tie."""
+    blocks = score_blocks(df, score, label).withColumnsRenamed({"n": "n_", "pos": "pos_", "seen": "seen_", "tp": "tp_"})
+    w = Window.partitionBy(score).orderBy("tie_").rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("tie_", tie).withColumn("row_", F.count("*").over(w)).withColumn("hit_", F.sum(F.col(label).cast("bigint")).over(w)).join(blocks, score)
+    return out.select(*df.columns, (F.col("seen_") - F.col("n_") + F.col("row_")).alias("seen"), (F.col("tp_") - F.col("pos_") + F.col("hit_")).alias("tp"))

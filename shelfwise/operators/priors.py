@@ -30,3 +30,10 @@ def cross_fold(rows: DataFrame, key: str, label: str, fold: str) -> DataFrame:
     out = rows.join(whole, key).join(own, [key, fold])
     n = F.col("n_") - F.col("n_own_")
     return out.select(*rows.columns, n.alias("support"), F.when(n > 0, (F.col("s_") - F.col("s_own_")) / n).alias("prior"))
+
+
+def majority(donors: DataFrame, keys: list[str], label: str, least: int, confidence: float) -> DataFrame:
+    """keys and majority: the label of most donors of a key that at least `least` hold, where so large a share agrees; no ties."""
+    held = donors.where(F.concat_ws("", *(F.col(k).cast("string") for k in keys)) != "").groupBy(*keys).agg(F.count("*").alias("n_"), F.avg(label).alias("m_"))
+    sure = (F.col("n_") >= least) & (F.col("m_") != 0.5) & (F.greatest("m_", 1 - F.col("m_")) >= confidence)
+    return held.where(sure).select(*keys, (F.col("m_") > 0.5).cast("int").alias("majority"), F.col("n_").alias("support"))

@@ -2,31 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.operators.windows import bucketed
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Where checkpoints go: what the cluster names, and only where it names none, as in tests, a local folder."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Rows kept in the folder that all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+from shelfwise.operators.lineage import cut_lineage
+from shelfwise.operators.windows import bucketed, ordinal
 
 
 def star_edges(rows: DataFrame, key: str, node: str, cap: int | None = None) -> DataFrame:
@@ -46,17 +26,17 @@ def key_degrees(rows: DataFrame, key: str, node: str, cap: int) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     """node and component, the smallest node it is connected to: hooking to the smallest neighbour, and doubling paths."""
     mapping = nodes.select(F.col(node).alias("node"), F.col(node).alias("component")).distinct()
-    left = checkpointed(edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).where("a != b"))
+    left = cut_lineage(edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).where("a != b"))
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("component"), F.least("a", "b").alias("up"))
-        hook = checkpointed(hook)
+        hook = cut_lineage(hook)
         twice = hook.select(F.col("component").alias("up"), F.col("up").alias("top"))
-        hook = checkpointed(hook.join(twice, "up", "left").select("component", F.coalesce("top", "up").alias("up")))
-        mapping = checkpointed(mapping.join(hook, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        hook = cut_lineage(hook.join(twice, "up", "left").select("component", F.coalesce("top", "up").alias("up")))
+        mapping = cut_lineage(mapping.join(hook, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
         for end in ("a", "b"):
             left = left.join(hook.withColumnRenamed("component", end), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
-        left = checkpointed(left.select("a", "b").where("a != b").distinct())
+        left = cut_lineage(left.select("a", "b").where("a != b").distinct())
     return mapping
 
 
@@ -103,3 +83,17 @@ def nearest_below(queries: DataFrame, donors: DataFrame, key: str, value: str) -
     near = F.max("donor_").over(Window.partitionBy("bucket_").orderBy(key, "query_").rowsBetween(Window.unboundedPreceding, 0))
     found = cut.withColumn("near_", near).join(F.broadcast(ends), "bucket_").where("query_ = 1").withColumn("near_", F.coalesce("near_", "carried_"))
     return found.select(*queries.columns, F.col("near_.k").alias("below"), F.col("near_.v").alias("prior"))
+
+
+def nearest(queries: DataFrame, donors: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """key, donor, value and rank of the k donors of nearest key, of two as near the smaller; donor keys are distinct.
+
+    Donors are numbered in order of their keys and a query looks up the 2 k numbers around its own place, so no task
+    meets more donors than its queries need. The place comes from the greatest donor below.
+    """
+    numbered = ordinal(donors.select(key, value).withColumn("all_", F.lit(0)), key, key, ["all_"]).select(F.col(key).alias("donor"), value, F.col("place_").alias("number"))
+    below = nearest_below(queries.select(key).distinct(), numbered.select(F.col("donor").alias(key), "number"), key, "number")
+    around = F.explode(F.sequence(F.coalesce("prior", F.lit(-1)).cast("bigint") - (k - 1), F.coalesce("prior", F.lit(-1)).cast("bigint") + k))
+    met = below.select(key, around.alias("number")).join(numbered, "number").withColumn("gap_", F.abs(F.col(key) - F.col("donor")))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("gap_", "donor"))
+    return met.withColumn("rank", place).where(F.col("rank") <= k).select(key, "donor", value, "rank")

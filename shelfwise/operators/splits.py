@@ -32,8 +32,8 @@ def round_robin(rows: DataFrame, bucket: list[str], key: Column) -> DataFrame:
     return rows.withColumn("key_", key).withColumn("turn", F.row_number().over(Window.partitionBy(*bucket).orderBy("key_"))).drop("key_")
 
 
-def exact_share(rows: DataFrame, stratum: list[str], key: Column, percent: int, tie: str) -> DataFrame:
-    """rows with chosen: the floor(n * percent / 100) rows of least key in each stratum.
+def exact_share(rows: DataFrame, stratum: list[str], key: Column, percent: int, tie: str, rounded: bool = False) -> DataFrame:
+    """rows with chosen: the floor(n * percent / 100) rows, or that rounded, of least key in each stratum.
 
     Keys are even hashes: rows are counted by stratum and the key's first two digits, and ordered within those only.
     """
@@ -41,6 +41,6 @@ def exact_share(rows: DataFrame, stratum: list[str], key: Column, percent: int,
     counts = cut.groupBy(*stratum, "digits_").agg(F.count("*").alias("n_"))
     w = Window.partitionBy(*stratum)
     before = F.coalesce(F.sum("n_").over(w.orderBy("digits_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*stratum, "digits_", before.alias("before_"), F.floor(F.sum("n_").over(w) * percent / 100).alias("take_"))
+    counts = counts.select(*stratum, "digits_", before.alias("before_"), (F.round if rounded else F.floor)(F.sum("n_").over(w) * percent / 100).alias("take_"))
     place = F.row_number().over(Window.partitionBy(*stratum, "digits_").orderBy("key_", tie))
     return cut.withColumn("in_", place).join(counts, [*stratum, "digits_"]).select(*rows.columns, (F.col("before_") + F.col("in_") <= F.col("take_")).alias("chosen"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text as T
-from shelfwise.operators.resolution import shared_folder
+from shelfwise.operators.lineage import shared_folder
 from shelfwise.queries import query
 from shelfwise.sources import scans, sinks
 from shelfwise.streaming import cards as streams
