@@ -12,7 +12,11 @@ link is lost to a limit, and every link is confirmed on the words themselves.
 
 Null, empty and wordless texts have empty sets and link with nothing. Fewer than five words make one shingle.
 Rows with equal ids are rows of their own. Null ids are no component's smallest id. Very long texts are hashed
-in slices of their shingles. Empty tables give no rows; only the named columns are read.
+in slices of their shingles. Empty tables give no rows. Columns of any name pass through unread. Texts whose sets
+have equal 64-bit hashes throughout are one class: two sets of n shingles that differ by one do so with odds 2**-64.
+
+A text, bucket, centre or group that very many rows hold is looked up in salted parts, and what two blocks of a
+cluster share is dealt by a key of the pair, so no task gets all of it.
 """
 
 from __future__ import annotations
@@ -25,17 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.batches import map_slices
+from shelfwise.llm.batches import map_slices, packed
 from shelfwise.llm.tables import cut_lineage, salted_lookup
 
 SHINGLE, PLACES, ROWS = 5, 128, 4
 SHARE = 75  # of the union, in hundredths
 #: Shingles whose permutations are drawn at a time.
 ELEMENTS = 1 << 16
-#: Rounds of one centre a bucket, before blocks; bytes of a block.
-CENTRES, BLOCK_BYTES = 2, 2 << 20
-
-
+#: Rounds of one centre a bucket, before blocks; bytes of a block, of which a row counts for so many at least.
+CENTRES, BLOCK_BYTES, ROW_BYTES = 2, 2 << 20, 2048
+#: Shingles of texts just compared that a task keeps.
+KNOWN_SHINGLES = 200_000
+#: A bucket with more than this share of all places is hot, so no more than HOT buckets are.
+HOT = 4096
 
 def words(text: str | None) -> list[bytes]:
     """Runs of characters other than ASCII white space, A-Z lower-cased."""
@@ -158,18 +164,28 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, of_last = None, set()
+        known: dict[bytes, set[bytes]] = {}
+        held = 0
+
+        def of(node: bytes, text: str) -> set[bytes]:
+            nonlocal held
+            if node not in known:
+                if held > KNOWN_SHINGLES:
+                    known.clear()
+                    held = 0
+                known[node] = shingles(text)
+                held += len(known[node])
+            return known[node]
+
         for batch in batches:
             keep = []
-            for b, text_a, text_b in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                if b != last:
-                    last, of_last = b, shingles(text_b)
-                s = shingles(text_a)
-                both = len(s & of_last)
-                keep.append(100 * both >= SHARE * (len(s) + len(of_last) - both))
+            for a, b, text_a, text_b in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                x, y = of(a, text_a), of(b, text_b)
+                both = len(x & y)
+                keep.append(100 * both >= SHARE * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    both = salted_lookup(pairs, two, "b", "a").where("text_b is not null").join(one, "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a binary, b binary")
 
 
@@ -198,7 +214,11 @@ def local_union(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node that a link touches; root: the least node it is connected to."""
+    """(node, root) of every node that a link touches; root: the least node it is connected to.
+
+    Each partition's links are first reduced to a forest. What is joined here are two ids a row; where a root holds
+    very many of them, adaptive execution splits its partition, whose other side has that root once.
+    """
     edges = cut_lineage(local_union(links))
     whole: DataFrame | None = None
     higher = lambda m: m.select(F.col("node").alias("root"), F.col("root").alias("higher"))
@@ -215,6 +235,11 @@ def components(links: DataFrame) -> DataFrame:
     return links.limit(0).select(F.col("a").alias("node"), F.col("b").alias("root")) if whole is None else whole
 
 
+def in_both(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two ascending arrays of distinct values, neither empty, share."""
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
 def within_blocks(open_members: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of different groups that share a bucket and whose sets are alike enough by their hashes.
 
@@ -222,7 +247,7 @@ def within_blocks(open_members: DataFrame, texts: DataFrame) -> DataFrame:
     bounded size, and each two blocks of it meet in one task, which gives out only what it found.
     """
     centre = open_members.groupBy("bucket").agg(F.min("node").alias("b"))
-    reach = components(open_members.select("bucket", F.col("node").alias("a")).join(centre, "bucket").where("a != b").select("a", "b").distinct())
+    reach = components(salted_lookup(open_members.select("bucket", F.col("node").alias("a")), centre, "bucket", "a").where("a != b").select("a", "b").distinct())
     each = open_members.groupBy("node", "root").agg(F.collect_list("bucket").alias("buckets")).join(reach.withColumnRenamed("root", "cluster"), "node")
 
     def make():
@@ -232,15 +257,17 @@ def within_blocks(open_members: DataFrame, texts: DataFrame) -> DataFrame:
 
     schema = "node binary, root binary, buckets array<bigint>, cluster binary, elements binary"
     each = cut_lineage(map_slices(each.join(texts, "node").select("node", "root", "buckets", "cluster", "text"), schema, make))
-    sizes = each.groupBy("cluster").agg(F.sum(F.length("elements") + 64).alias("size")).select("cluster", F.ceil(F.col("size") / BLOCK_BYTES).cast("int").alias("blocks"))
-    dealt = each.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = each.groupBy("cluster").agg(F.sum(F.greatest(F.length("elements"), F.lit(ROW_BYTES))).alias("size")).select("cluster", F.ceil(F.col("size") / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = salted_lookup(each, sizes, "cluster", "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "buckets", "elements")
+    # One key of the pair: rows that lie together by cluster alone would leave all its pairs in one task.
+    dealt = dealt.withColumn("pair", F.concat_ws(":", F.hex("cluster"), "i", "j")).drop("cluster")
 
     def meet(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         block, node, root, buckets = (table.column(c).to_pylist() for c in ("block", "node", "root", "buckets"))
-        sets = [frozenset(np.frombuffer(e, np.uint64).tolist()) for e in table.column("elements").to_pylist()]
+        sets = [np.frombuffer(e, np.uint64) for e in table.column("elements").to_pylist()]
         of_bucket: dict[int, list[int]] = {}
         for k in (k for k in range(len(node)) if block[k] == j):
             for b in buckets[k]:
@@ -251,19 +278,30 @@ def within_blocks(open_members: DataFrame, texts: DataFrame) -> DataFrame:
             for m in {m for b in buckets[k] for m in of_bucket.get(b, ())}:
                 two = sets[m]
                 if root[k] != root[m] and (i != j or k < m) and 100 * min(n, len(two)) >= SHARE * max(n, len(two)):
-                    both = len(one & two)
+                    both = in_both(one, two)
                     if 100 * both >= SHARE * (n + len(two) - both):
                         found.append((node[k], node[m]))
         return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(meet, "a binary, b binary")
+    return dealt.groupBy("pair").applyInArrow(meet, "a binary, b binary")
+
+
+def in_buckets(each: DataFrame, crowded: DataFrame) -> DataFrame:
+    """The rows of each whose bucket is crowded. Hot buckets, HOT at most, are broadcast; the others meet by bucket."""
+    places = crowded.agg(F.sum("many")).first()[0] or 0
+    hot = [r[0] for r in crowded.where(F.col("many") > max(100_000, places // HOT)).select("bucket").collect()]
+    if not hot:
+        return each.join(crowded.select("bucket"), "bucket")
+    few = F.broadcast(each.sparkSession.createDataFrame([(h,) for h in hot], "bucket bigint"))
+    cool = each.join(few, "bucket", "left_anti").join(crowded.select("bucket"), "bucket")
+    return each.join(few, "bucket", "left_semi").select(*cool.columns).unionByName(cool)
 
 
 def grouped(classes: DataFrame, texts_of) -> DataFrame:
     """(node, root) of the classes that link with others. classes: node, n_shingles, bands; texts_of(nodes): node, text."""
     each = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    crowded = cut_lineage(each.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket"))
-    members = cut_lineage(each.join(crowded, "bucket"))
+    crowded = cut_lineage(each.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1"))
+    members = cut_lineage(in_buckets(each, crowded))
     texts = cut_lineage(texts_of(members.select("node").distinct()))
     now, roots, links, tested = members.withColumn("root", F.col("node")), None, None, None
     for turn in range(CENTRES + 1):
@@ -271,7 +309,7 @@ def grouped(classes: DataFrame, texts_of) -> DataFrame:
             # A bucket whose members are all of one group has nothing left to find.
             known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             mixed = known.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("bucket")
-            now = cut_lineage(known.join(mixed, "bucket"))
+            now = cut_lineage(salted_lookup(known, mixed.withColumn("mixed", F.lit(True)), "bucket", "node").where("mixed").drop("mixed"))
         if now.isEmpty():
             break
         if turn < CENTRES:
@@ -279,7 +317,7 @@ def grouped(classes: DataFrame, texts_of) -> DataFrame:
             centre = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root")).alias("c"))
             b = cut_lineage(centre.select("bucket", F.col("c.node").alias("b"), F.col("c.n").alias("n_b"), F.col("c.root").alias("root_b")))
             alike = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SHARE) & (F.col("root_a") != F.col("root_b"))
-            pairs = a.join(b, "bucket").where(alike).select("a", "b").distinct()
+            pairs = salted_lookup(a, b, "bucket", "a").where(alike).select("a", "b").distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
         else:
@@ -309,7 +347,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     roots = grouped(classes.select("node", "n_shingles", "bands"), texts_of)
     known = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = cut_lineage(known.groupBy("root").agg(F.min("least").alias("best")))
-    known = cut_lineage(known.select("node", "root").join(best, "root").select("node", F.col("best.id").alias("best_id"), F.col("best.row").alias("best_row")))
+    known = cut_lineage(salted_lookup(known.select("node", "root"), best, "root", "node").select("node", F.col("best.id").alias("best_id"), F.col("best.row").alias("best_row")))
     out = salted_lookup(rows.select("id", "key", "n_shingles", "node", "row"), known, "node", "row")
     alone = F.col("node").isNull()
     out = out.withColumn("component_id", F.when(alone, F.col("id")).otherwise(F.col("best_id")))
@@ -324,7 +362,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Of rows that share that id the first text in order stays; rows equal in id and text are one row.
     """
-    stay = groups(df, id_col, text_col).where("first").select(F.col(id_col).alias("id_"), F.col("key").alias("key_")).distinct()
-    keyed = df.withColumn("text_key_", F.unhex(F.md5(F.col(text_col))))
-    kept = keyed.join(stay, F.col(id_col).eqNullSafe(F.col("id_")) & F.col("text_key_").eqNullSafe(F.col("key_")), "left_semi")
-    return kept.dropDuplicates([id_col, "text_key_"]).drop("text_key_")
+    stay = groups(df, id_col, text_col).where("first").select(F.col(id_col).alias("stay_id"), F.col("key").alias("stay_key")).distinct()
+    keyed = packed(df, id=id_col, key=F.unhex(F.md5(F.col(text_col))))
+    kept = keyed.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & F.col("key").eqNullSafe(F.col("stay_key")), "left_semi")
+    return kept.dropDuplicates(["id", "key"]).select("kept.*")
