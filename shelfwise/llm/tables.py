@@ -1,38 +1,13 @@
-"""Shuffles that no key can make uneven, and lineage cut where it must survive lost executors."""
+"""Shuffles that no key can make uneven."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
-
-
-def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the cluster names; only where it names none, as in tests, to a local one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
+from shelfwise.operators.lineage import cut_lineage  # noqa: F401  (the subpackage's operators take it from here)
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The same rows, read from a table in the shared folder: computed once, where checkpoint() computes them twice.
-
-    The table stays until the folder goes, as files of checkpoints do where their cleaning is off.
-    """
-    spark = df.sparkSession
-    shared_folder(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+SALTS = 64
 
 
 def salted_lookup(rows: DataFrame, table: DataFrame, key: str, by: str | Column, salts: int = SALTS) -> DataFrame:
