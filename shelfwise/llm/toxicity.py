@@ -3,33 +3,41 @@
 A word's input joins what is known of the word and of its character n-grams: log-odds of the label, counted
 over documents, and embeddings that are learned with the network. The network reads windows of 32 words; every
 text is scored in windows that start every 8 words, each sharing 24 with the next, and its score is that of its worst window,
-calibrated on documents. Training is in numpy, on a bounded sample of labelled rows, and the same for the same rows.
+calibrated on documents. Training is in numpy, on a bounded sample of labelled rows, whose whole texts are read, and the
+same for the same rows.
 
 Null, empty and wordless texts get the score of a window without words. Long texts have as many windows as
 their words need. With no labels, or one class only, every score is that class's share. Repeated rows get
-equal scores. Only the named columns are read.
+equal scores. Labels that are neither 0 nor 1 aren't learned from. Empty tables give no rows. Only the named columns are
+read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.batches import held_out, map_slices
 from shelfwise.llm.decontaminate import words
 
-#: Labelled rows that are learned from, at most: those with the smallest hashes.
-SAMPLE_ROWS = 4000
-#: Of these the network itself is fitted on so many windows, two a document.
+#: Labelled rows that are learned from, at most: those with the smallest hashes, up to so many bytes of text together.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 64 << 20
+#: Words of a window, and from one window's start to the next's.
 WINDOW, STRIDE = 32, 8
+#: Words with an embedding of their own, at most: those of the greatest log-odds; the others have their n-grams'.
+EMBEDDED_WORDS = 20_000
 HIDDEN, LEARNED, GRAM_BUCKETS, GRAMS = 8, 3, 1 << 15, (3, 4, 5)
 INPUT = 2 + LEARNED + 2 + LEARNED
-#: Steps of the optimiser, at least.
-STEPS = 150
+#: Steps of the optimiser, at least, and windows of a step.
+STEPS, BATCH_WINDOWS = 150, 256
+#: Kinds of windows, and the part of a step's that they make: a clean text's worst, a toxic one's worst, and clean ones in order.
+PLAIN = 2
+SHARES = {0: 2, 1: 8, PLAIN: 3}
 KNOWN_WORDS, BATCH = 200_000, 4096
 
 
@@ -177,6 +185,21 @@ def odds_of(docs: list[set[bytes]], grams: dict[bytes, np.ndarray], label: np.nd
     return dict(zip(kept, log_odds(pos, neg, max(1, n[1]), max(1, n[0]), prior))), log_odds(of_grams[1], of_grams[0], max(1, n[1]), max(1, n[0]), prior)
 
 
+def drawn(kind: np.ndarray, rng: np.random.Generator, steps: int) -> Iterator[np.ndarray]:
+    """Batches of windows, in which each kind has its share; of a kind every window comes once before any comes twice."""
+    held = {k: np.flatnonzero(kind == k) for k in SHARES}
+    order = {k: np.zeros(0, int) for k in SHARES}
+    for _ in range(steps):
+        parts = []
+        for k, share in SHARES.items():
+            n = min(BATCH_WINDOWS // share, len(held[k]) * 8)
+            while len(order[k]) < n:
+                order[k] = np.concatenate([order[k], rng.permutation(held[k])])
+            parts.append(order[k][:n])
+            order[k] = order[k][n:]
+        yield np.concatenate(parts)
+
+
 def train(texts: list[str], labels: list[int], rounds: int = 6, seed: int = 5, rate: float = 0.02) -> Model:
     """A network for labelled texts. Log-odds that it learns from come from the other half of the documents."""
     label = np.array(labels, int)
@@ -192,7 +215,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, seed: int = 5, r
         b, ok = gram_buckets([everything[i] for i in at])
         grams.update((everything[i], b[k][ok[k]]) for k, i in enumerate(at))
     model = Model(*odds_of(sets, grams, label))
-    often = sorted(model.word_odds, key=lambda w: (-abs(model.word_odds[w]), w))[:20_000]
+    often = sorted(model.word_odds, key=lambda w: (-abs(model.word_odds[w]), w))[:EMBEDDED_WORDS]
     model.word_rows = {w: i + 1 for i, w in enumerate(often)}
     f32 = lambda *shape, s=0.3: rng.normal(0, s, shape).astype(np.float32)
     p = {"words": f32(len(often) + 1, LEARNED, s=0.05), "grams": f32(GRAM_BUCKETS, LEARNED, s=0.05), "attend": f32(2 * HIDDEN), "out": f32(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
@@ -200,7 +223,8 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, seed: int = 5, r
         p |= {f"w{d}": f32(INPUT, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32), f"u{d}": f32(HIDDEN, 2 * HIDDEN), f"v{d}": f32(HIDDEN, HIDDEN)}
     model.p = p
 
-    # Windows: of each document the one whose word has the greatest odds, and another one.
+    # Windows: of each text the one around the word of the greatest odds, which is looked for in the whole text, and of a
+    # clean text all of it, window beside window; the other windows of a toxic text may be clean.
     half = np.arange(len(docs)) % 2
     chosen: list[tuple[list[bytes], int, int]] = []
     crossed = []
@@ -209,12 +233,11 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, seed: int = 5, r
         crossed.append(other)
         best = {w: max(other.word_odds.get(w, 0.0), float(other.gram_odds[grams[w]].max())) for w in everything}
         for i in np.flatnonzero(half == side):
-            starts = windows_of(len(docs[i]))
-            worst = max(range(len(docs[i])), key=lambda k: best[docs[i][k]], default=0)
-            for s in (max(0, min(worst - WINDOW // 2, len(docs[i]) - WINDOW)), starts[int(rng.integers(len(starts)))]):
-                chosen.append((docs[i][s : s + WINDOW], int(label[i]), side))
-                if label[i]:
-                    break  # the other window of a toxic text may be clean
+            d = docs[i]
+            worst = max(range(len(d)), key=lambda k: best[d[k]], default=0)
+            at = max(0, min(worst - WINDOW // 2, len(d) - WINDOW))
+            chosen.append((d[at : at + WINDOW], 1 if label[i] else 0, side))
+            chosen += [(d[s : s + WINDOW], PLAIN, side) for s in range(0, 0 if label[i] else len(d), WINDOW)]
     distinct = sorted({w for c, _, _ in chosen for w in c})
     number = {w: i + 1 for i, w in enumerate(distinct)}
     fixed = []
@@ -223,40 +246,38 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, seed: int = 5, r
     ids = np.zeros((len(chosen), WINDOW), int)
     for k, (c, _, _) in enumerate(chosen):
         ids[k, : len(c)] = [number[w] for w in c]
-    y, side = np.array([c[1] for c in chosen], np.float32), np.array([c[2] for c in chosen])
+    kind, side = np.array([c[1] for c in chosen]), np.array([c[2] for c in chosen])
+    y = (kind == 1).astype(np.float32)
     rows = np.array([0] + [model.word_rows.get(w, 0) for w in distinct])
     grams_of = [np.zeros(1, np.int32), *(grams[w] for w in distinct)]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     step, c = 0, 2 + LEARNED
-    for _ in range(max(rounds, STEPS * 256 // max(1, len(chosen)))):
-        turn = rng.permutation(len(chosen))
-        for at in range(0, len(turn), 256):
-            b = turn[at : at + 256]
-            used, inverse = np.unique(ids[b], return_inverse=True)
-            x = np.stack([fixed[0][ids[b]], fixed[1][ids[b]]])[side[b], np.arange(len(b))]
-            x[:, :, 2:c] = p["words"][rows[ids[b]]]
-            size = np.array([len(grams_of[i]) for i in used])
-            places = np.concatenate([grams_of[i] for i in used])
-            of_used = np.add.reduceat(p["grams"][places], np.cumsum(size) - size) / size[:, None]
-            x[:, :, c + 2 :] = of_used[inverse.reshape(len(b), WINDOW)]
-            x, mask = np.ascontiguousarray(x.transpose(1, 0, 2)), (ids[b].T > 0).astype(np.float32)
-            projected = np.concatenate([x @ p[f"w{d}"] + p[f"b{d}"] for d in "fb"], axis=2)
-            keep: dict = {}
-            d_logit = ((sigmoid(forward(p, projected, mask, keep)) - y[b]) / len(b)).astype(np.float32)
-            g, d_x = backward(p, x, mask, keep, d_logit)
-            d_x = (d_x * mask[..., None]).transpose(1, 0, 2).reshape(-1, INPUT)
-            g["words"] = np.zeros_like(p["words"])
-            np.add.at(g["words"], rows[ids[b]].ravel(), d_x[:, 2:c])
-            of_words = np.zeros((len(used), LEARNED), np.float32)
-            np.add.at(of_words, inverse.ravel(), d_x[:, c + 2 :])
-            g["grams"] = np.zeros_like(p["grams"])
-            np.add.at(g["grams"], places, np.repeat(of_words / size[:, None], size, axis=0).astype(np.float32))
-            step += 1
-            for k, v in g.items():
-                m = moments[k]
-                m[0] = 0.9 * m[0] + 0.1 * v
-                m[1] = 0.99 * m[1] + 0.01 * v * v
-                p[k] -= (rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    for b in drawn(kind, rng, max(STEPS, rounds * 2 * len(docs) // BATCH_WINDOWS)):
+        used, inverse = np.unique(ids[b], return_inverse=True)
+        x = np.stack([fixed[0][ids[b]], fixed[1][ids[b]]])[side[b], np.arange(len(b))]
+        x[:, :, 2:c] = p["words"][rows[ids[b]]]
+        size = np.array([len(grams_of[i]) for i in used])
+        places = np.concatenate([grams_of[i] for i in used])
+        of_used = np.add.reduceat(p["grams"][places], np.cumsum(size) - size) / size[:, None]
+        x[:, :, c + 2 :] = of_used[inverse.reshape(len(b), WINDOW)]
+        x, mask = np.ascontiguousarray(x.transpose(1, 0, 2)), (ids[b].T > 0).astype(np.float32)
+        projected = np.concatenate([x @ p[f"w{d}"] + p[f"b{d}"] for d in "fb"], axis=2)
+        keep: dict = {}
+        d_logit = ((sigmoid(forward(p, projected, mask, keep)) - y[b]) / len(b)).astype(np.float32)
+        g, d_x = backward(p, x, mask, keep, d_logit)
+        d_x = (d_x * mask[..., None]).transpose(1, 0, 2).reshape(-1, INPUT)
+        g["words"] = np.zeros_like(p["words"])
+        np.add.at(g["words"], rows[ids[b]].ravel(), d_x[:, 2:c])
+        of_words = np.zeros((len(used), LEARNED), np.float32)
+        np.add.at(of_words, inverse.ravel(), d_x[:, c + 2 :])
+        g["grams"] = np.zeros_like(p["grams"])
+        np.add.at(g["grams"], places, np.repeat(of_words / size[:, None], size, axis=0).astype(np.float32))
+        step += 1
+        for k, v in g.items():
+            m = moments[k]
+            m[0] = 0.9 * m[0] + 0.1 * v
+            m[1] = 0.99 * m[1] + 0.01 * v * v
+            p[k] -= (rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     # Scale and shift of the worst window's logit, by gradient steps on the documents, each scored with the other half's odds.
     z = np.zeros(len(docs))
     for s, other in enumerate(crossed):
@@ -320,10 +341,16 @@ class Scorer:
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Texts and labels of at most `rows` labelled rows that aren't held out, those of the smallest hashes of their ids."""
+    """Texts and labels of at most `rows` labelled rows that aren't held out, those of the smallest hashes of their ids.
+
+    Of these the texts of the smallest hashes, as far as SAMPLE_BYTES go: that much and no more comes to the driver.
+    """
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = chosen.select(id_col, F.col(label_col).cast("int").alias("label_")).orderBy(F.xxhash64(id_col), id_col, "label_").limit(rows)
-    return df.select(id_col, F.col(text_col).alias("text_")).join(F.broadcast(chosen), id_col).select("text_", "label_").orderBy(F.xxhash64("text_"), "label_").limit(rows)
+    sample = df.select(id_col, F.col(text_col).alias("text_")).join(F.broadcast(chosen), id_col).select("text_", "label_", F.xxhash64("text_").alias("hash_"))
+    sample = sample.orderBy("hash_", "label_").limit(rows)
+    so_far = F.sum(F.coalesce(F.octet_length("text_"), F.lit(0))).over(Window.orderBy("hash_", "label_").rowsBetween(Window.unboundedPreceding, 0))
+    return sample.withColumn("so_far_", so_far).where(F.col("so_far_") <= SAMPLE_BYTES).select("text_", "label_")
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
