@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.metrics import f1
+from shelfwise.operators.windows import ordinal
 
 
 def transition(label: Column, base: Column, candidate: Column) -> Column:
@@ -23,28 +19,61 @@ def cohorts(df: DataFrame, masks: dict[str, Column]) -> DataFrame:
     return df.withColumn("cohort", F.explode(names))
 
 
-def component_bootstrap(df: DataFrame, component: str, category: str, label: str, base: str, candidate: str, repeats: int, seed: int) -> DataFrame:
-    """repeat and delta: the candidate's macro F1 less the base's when components are drawn anew.
+def survival(base: str, cand: str, base_after: str, cand_after: str) -> list[Column]:
+    """Changes before and after a later step: how many there were, went, stayed and came, and the share that stayed."""
+    before, after = F.col(base) != F.col(cand), F.col(base_after) != F.col(cand_after)
+    stayed, were = F.count_if(before & after), F.count_if(before)
+    rate = F.round(F.coalesce(stayed / F.nullif(were, F.lit(0)), F.lit(0.0)), 9)
+    return [were.alias("changed"), F.count_if(before & ~after).alias("overridden"), stayed.alias("survived"), F.count_if(~before & after).alias("introduced"), rate.alias("rate")]
+
+
+def pearson(a: str, b: str) -> Column:
+    """Population form; null where a side doesn't vary."""
+    x, y = F.col(a), F.col(b)
+    spread = (F.avg(x * x) - F.pow(F.avg(x), 2)) * (F.avg(y * y) - F.pow(F.avg(y), 2))
+    return F.when(spread > 0, (F.avg(x * y) - F.avg(x) * F.avg(y)) / F.sqrt(spread))
+
+
+COUNTS = ("tp_0", "said_0", "tp_1", "said_1", "pos")
+
+
+def counted(df: DataFrame, keys: list[str], label: str, base: str, candidate: str) -> DataFrame:
+    """What F1 needs of each component and category, for both predictions: summed before any draw."""
+    of = [(F.col(p), i) for i, p in enumerate((base, candidate))]
+    return df.groupBy(*keys).agg(*(F.sum(F.col(label) * p).alias(f"tp_{i}") for p, i in of), *(F.sum(p).alias(f"said_{i}") for p, i in of), F.sum(label).alias("pos"))
+
 
-    A component's weight in a repeat is Poisson with mean 1, drawn from the component's hash and the repeat, so no
-    list of components is ever gathered and a lost task draws the same again. Counts are first summed by component.
+def change(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and delta: the candidate's F1 less the base's, from weighted counts."""
+    score = [F.coalesce(2 * F.sum(F.col("w") * F.col(f"tp_{i}")) / F.nullif(F.sum(F.col("w") * (F.col(f"said_{i}") + F.col("pos"))), F.lit(0)), F.lit(0.0)) for i in (0, 1)]
+    return sums.groupBy(*keys).agg((score[1] - score[0]).alias("delta"))
+
+
+def draws(components: DataFrame, by: list[str], repeats: int, seed: Column) -> DataFrame:
+    """by, repeat, place and w: as many draws as there are components, with replacement, and how often each was drawn.
+
+    components: by and n. A draw is the hash of the repeat and its number, so a lost task draws the same again and no list of
+    components is gathered; draws are counted before they meet the components.
     """
-    of = lambda p, x, y: F.sum(((F.col(label) == x) & (F.col(p) == y)).cast("double"))
-    parts = {f"{k}_{i}": of(p, x, y) for i, p in enumerate((base, candidate)) for k, (x, y) in {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0)}.items()}
-    counts = df.groupBy(component, category).agg(*(v.alias(k) for k, v in parts.items())).withColumn("h", F.xxhash64(F.col(component), F.lit(seed)))
-    names = list(parts)
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
-        for frame in frames:
-            for cat, values, h in zip(frame[category], frame[names].to_numpy(), frame["h"]):
-                weights = np.random.default_rng(int(h) & (2**63 - 1)).poisson(1.0, repeats)
-                sums[cat] = sums.get(cat, 0) + weights[:, None] * values[None, :]
-        for cat, total in sums.items():
-            yield pd.DataFrame({"repeat": np.arange(repeats), category: cat, **{n: total[:, i] for i, n in enumerate(names)}})
-
-    kind = df.schema[category].dataType.simpleString()
-    drawn = counts.mapInPandas(draw, f"`repeat` int, `{category}` {kind}, " + ", ".join(f"{n} double" for n in names))
-    whole = drawn.groupBy("repeat", category).agg(*(F.sum(n).alias(n) for n in names))
-    score = [f1(F.col(f"tp_{i}"), F.col(f"fp_{i}"), F.col(f"fn_{i}")) for i in (0, 1)]
-    return whole.groupBy("repeat").agg((F.avg(score[1]) - F.avg(score[0])).alias("delta"))
+    each = components.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).select(*by, "n", "repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("j"))
+    digits = F.substring(F.sha2(F.concat_ws("\0", seed, F.col("repeat").cast("string"), F.col("j").cast("string")), 256), 1, 8)
+    place = F.floor(F.conv(digits, 16, 10).cast("bigint") * F.col("n") / 4294967296.0).cast("bigint")
+    return each.select(*by, "repeat", place.alias("place")).groupBy(*by, "repeat", "place").agg(F.count("*").alias("w"))
+
+
+def multinomial_bootstrap(df: DataFrame, component: str, category: str, label: str, base: str, candidate: str, repeats: int, seed: str) -> DataFrame:
+    """repeat and delta: the change in macro F1 when whole components are drawn anew, over all categories at once."""
+    numbered = ordinal(df.select(component).distinct().withColumn("all_", F.lit(0)), component, component, ["all_"]).select(component, F.col("place_").cast("bigint").alias("place"), "n_")
+    drawn = draws(numbered.select(F.col("n_").alias("n")).limit(1), [], repeats, F.lit(seed))
+    sums = counted(df, [component, category], label, base, candidate)
+    met = drawn.join(numbered.drop("n_"), "place").join(sums, component)
+    return change(met, ["repeat", category]).groupBy("repeat").agg(F.avg("delta").alias("delta"))
+
+
+def category_bootstrap(df: DataFrame, component: str, category: str, label: str, base: str, candidate: str, repeats: int) -> DataFrame:
+    """repeat, category and delta: components are drawn anew within each category; the category seeds its draws."""
+    numbered = ordinal(df.select(category, component).distinct(), component, component, [category]).select(category, component, F.col("place_").cast("bigint").alias("place"), "n_")
+    drawn = draws(numbered.groupBy(category).agg(F.max("n_").alias("n")), [category], repeats, F.col(category).cast("string"))
+    sums = counted(df, [component, category], label, base, candidate)
+    met = drawn.join(numbered.drop("n_"), [category, "place"]).join(sums, [category, component])
+    return change(met, ["repeat", category])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -76,3 +77,25 @@ def nested_selection(df: DataFrame, heads: list[str], label: str, category: str,
 def logit(p: Column, floor: float = 1e-6) -> Column:
     inside = F.least(F.greatest(p, F.lit(floor)), F.lit(1 - floor))
     return F.log(inside / (1 - inside))
+
+
+def routed(category: Column, scores: list[Column], rules: dict[str | None, tuple[list[float], float]]) -> Column:
+    """Whether the weighted score of a row's category reaches its threshold; the rule of None holds for all others."""
+    said = lambda rule: (weighted(scores, F.array(*map(F.lit, rule[0]))) >= rule[1]).cast("int")
+    out = said(rules[None]) if None in rules else F.lit(None).cast("int")
+    for name, rule in rules.items():
+        if name is not None:
+            out = F.when(category == name, said(rule)).otherwise(out)
+    return out
+
+
+def aligned(seeds: list[DataFrame], key: str, same: list[str], score: str) -> DataFrame:
+    """key, the columns that all seeds must agree on, the mean score and the number of seeds; what doesn't agree is an error."""
+    out = None
+    for i, seed in enumerate(seeds):
+        part = seed.select(key, *same, F.col(score).alias("score"), F.lit(i).alias("seed"))
+        out = part if out is None else out.unionByName(part)
+    agree = reduce(lambda a, b: a & b, [F.min(c).eqNullSafe(F.max(c)) for c in same])
+    whole = (F.count("*") == len(seeds)) & (F.countDistinct("seed") == len(seeds))
+    mean = F.when(agree & whole, F.avg("score")).otherwise(F.raise_error(F.lit("seeds don't align")).cast("double"))
+    return out.groupBy(key).agg(*(F.min(c).alias(c) for c in same), mean.alias("score"), F.count("*").alias("seeds"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,3 +38,33 @@ def majority(donors: DataFrame, keys: list[str], label: str, least: int, confide
     held = donors.where(F.concat_ws("", *(F.col(k).cast("string") for k in keys)) != "").groupBy(*keys).agg(F.count("*").alias("n_"), F.avg(label).alias("m_"))
     sure = (F.col("n_") >= least) & (F.col("m_") != 0.5) & (F.greatest("m_", 1 - F.col("m_")) >= confidence)
     return held.where(sure).select(*keys, (F.col("m_") > 0.5).cast("int").alias("majority"), F.col("n_").alias("support"))
+
+
+def posteriors(rows: DataFrame, donors: DataFrame, levels: list[tuple[str, list[str], int, float]], label: str, weight: float, rate: float) -> DataFrame:
+    """rows with posterior and source: of the first level whose family holds enough donors and is sure enough, the mean
+    label, drawn towards `rate` as by `weight` more donors. A level that asks for 999 donors or more is switched off."""
+    out, found = rows, []
+    for name, keys, least, confidence in levels:
+        if least >= 999:
+            continue
+        held = donors.groupBy(*keys).agg(F.count("*").alias("n_"), F.sum(label).alias("s_"))
+        held = held.withColumn("p_", (F.col("s_") + weight * rate) / (F.col("n_") + weight)).where((F.col("n_") >= least) & (F.greatest("p_", 1 - F.col("p_")) >= confidence))
+        out = out.join(held.select(*keys, F.col("p_").alias(f"p_{name}")), keys, "left")
+        found.append(name)
+    source = reduce(lambda rest, n: F.when(F.col(f"p_{n}").isNotNull(), n).otherwise(rest), reversed(found), F.lit("none"))
+    return out.select(*(F.col(c) for c in rows.columns), F.coalesce(*(F.col(f"p_{n}") for n in found)).alias("posterior"), source.alias("source"))
+
+
+def unanimous(rows: DataFrame, donors: DataFrame, channels: list[tuple[str, list[str]]], label: str, least: int, most: int, row_id: str = "id") -> DataFrame:
+    """row_id, label, channel and donors of rows for which some channel's donors, `least` to `most` of them, are of one mind;
+    of several channels the first."""
+    out = rows.drop(label)
+    for name, keys in channels:
+        held = donors.groupBy(*keys).agg(F.min(label).alias("lo_"), F.max(label).alias("hi_"), F.count("*").alias("n_")).where((F.col("lo_") == F.col("hi_")) & F.col("n_").between(least, most))
+        out = out.join(held.select(*keys, F.struct(F.col("lo_").alias(label), F.lit(name).alias("channel"), F.col("n_").alias("donors")).alias(f"of_{name}")), keys, "left")
+    return out.select(row_id, F.coalesce(*(F.col(f"of_{n}") for n, _ in channels)).alias("first_")).where("first_ IS NOT NULL").select(row_id, "first_.*")
+
+
+def policy_grid(spark: SparkSession, values: dict[str, list]) -> DataFrame:
+    """A row for each combination of parameter values: its size depends on the parameters only."""
+    return spark.createDataFrame(list(product(*values.values())), list(values)).select(*(F.col(n).cast("int" if isinstance(v[0], int) else "double").alias(n) for n, v in values.items()))

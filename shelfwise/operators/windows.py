@@ -82,3 +82,15 @@ def first_per_key(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= n)
+
+
+def quantiles(df: DataFrame, value: str, tie: str, by: list[str], shares: list[float]) -> DataFrame:
+    """by and quantiles, exact and with linear interpolation: rows are numbered, and only those that a share asks for are kept."""
+    placed = ordinal(df, value, tie, by).select(*by, "place_", "n_", value)
+    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("s")) for i, s in enumerate(shares))))
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n")).select(*by, "n", wanted.alias("w")).select(*by, "w.i", (F.col("w.s") * (F.col("n") - 1)).alias("at"))
+    ends = sizes.select(*by, "i", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("place_"))
+    met = ends.join(placed, [*by, "place_"])
+    share = F.when(F.floor("at") == F.ceil("at"), 1.0).when(F.col("place_") == F.floor("at"), F.ceil("at") - F.col("at")).otherwise(F.col("at") - F.floor("at"))
+    each = met.groupBy(*by, "i").agg(F.sum(F.col(value) * share).alias("q"))
+    return each.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("quantiles"))

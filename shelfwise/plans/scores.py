@@ -184,14 +184,6 @@ def met20_fold_gate(t):
     return by.agg(wins.alias("wins"), F.round(F.min("d"), 6).alias("worst"), F.round(F.avg("d"), 6).alias("mean"), ((F.avg("d") >= 0.003) & (wins >= 4) & (F.min("d") >= -0.005)).alias("accepted"))
 
 
-@query("")
-def met16_component_bootstrap(t):
-    """Mean, interval and share of repeats won of the change in macro F1 over 200 draws of families."""
-    d = comparison.component_bootstrap(heads(t), "family", "category", "label", "base", "cand", 200, 17)
-    q = lambda p: F.round(F.percentile("delta", p), 9)
-    return d.agg(F.count("*").alias("repeats"), F.round(F.avg("delta"), 9).alias("mean"), q(0.025).alias("low"), q(0.975).alias("high"), F.avg((c("delta") > 0).cast("int")).alias("won"))
-
-
 @query("SELECT count(*) AS vectors, count(*) FILTER (WHERE norm = 0) AS zeros, round(min(norm), 5) AS least, round(quantile_cont(norm, 0.5), 5) AS middle, round(max(norm), 5) AS most FROM (SELECT sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings)", "embeddings")
 def met26_norms(d):
     n = d.select(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm"))
