@@ -16,14 +16,22 @@ def filled(text: Column) -> Column:
 
 def unescaped(text: Column) -> Column:
     for name, value in ENTITIES:
-        text = F.regexp_replace(text, name, value)
+        text = F.replace(text, F.lit(name), F.lit(value))
     return text
 
 
+def untagged(text: Column) -> Column:
+    return F.regexp_replace(text, "<[^>]+>", " ")
+
+
+def cleaned(text: Column) -> Column:
+    """Lower case, yo as ye, other characters than the kept ones as single spaces."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), "ё", "е"), f"[^{KEPT}]+", " "))
+
+
 def normalized(text: Column) -> Column:
     """No markup, lower case, yo as ye, other characters as single spaces."""
-    plain = F.regexp_replace(unescaped(filled(text)), "<[^>]+>", " ")
-    return F.trim(F.regexp_replace(F.translate(F.lower(plain), "ё", "е"), f"[^{KEPT}]+", " "))
+    return cleaned(untagged(unescaped(filled(text))))
 
 
 def light(text: Column) -> Column:
@@ -164,3 +172,77 @@ def finite(value: Column) -> Column:
 def strict_boolean(text: Column) -> Column:
     """True and false by their exact names; any other text is an error when it is read."""
     return F.when(text == "true", True).when(text == "false", False).otherwise(F.raise_error(F.concat(F.lit("no boolean: "), F.coalesce(text, F.lit("null")))).cast("boolean"))
+
+
+def normalized_with_yo(text: Column) -> Column:
+    """As normalized, but yo stays a letter of its own."""
+    return F.trim(F.regexp_replace(F.lower(untagged(filled(text))), f"[^{KEPT}ё]+", " "))
+
+
+def masked_name(name: Column, words: int = 3, letters: int = 10) -> Column:
+    """The name with masked numbers; empty unless one is masked beside enough words and letters."""
+
+    def form(w: Column) -> Column:
+        alpha = F.filter(w, lambda t: (t != "#") & t.rlike("[a-zа-я]"))
+        enough = (F.size(alpha) >= words) & (F.length(F.regexp_replace(F.array_join(alpha, ""), "[^a-zа-я]", "")) >= letters) & F.array_contains(w, "#")
+        return F.when(enough, F.array_join(w, " ")).otherwise("")
+
+    return once(F.split(digit_masked(name), " "), form)
+
+
+def full_text(name: Column, description: Column) -> Column:
+    """Normalised name and description, a line each; empty only if both are."""
+    a, b = normalized(name), normalized(description)
+    return F.when((a == "") & (b == ""), "").otherwise(F.concat_ws("\n", a, b))
+
+
+def gated_features(name: Column, description: Column) -> tuple[Column, Column]:
+    """Distinct words of three letters or with a digit, and distinct pairs of neighbours of seven letters together."""
+    words = F.concat(tokens(name), tokens(name), tokens(description))
+    long = lambda a, b: F.when(F.length(a) + F.length(b) >= 7, F.concat(a, F.lit(" "), b))
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), long)
+    return F.array_distinct(F.filter(words, lambda t: (F.length(t) >= 3) | t.rlike("[0-9]"))), once(words, lambda w: F.array_distinct(F.array_compact(pairs(w))))
+
+
+def word_bound_ngrams(text: Column, least: int, most: int) -> Column:
+    """Runs of `least` to `most` characters of each word between blanks, padded by one; a padded word shorter than a run counts once."""
+
+    def of_word(w: Column) -> Column:
+        run = lambda p, n: F.transform(F.sequence(F.lit(0), F.greatest(F.length(p) - n, F.lit(0))), lambda i: F.substring(p, i + 1, n))
+        sizes = lambda p: F.filter(F.sequence(F.lit(least), F.lit(most)), lambda n: (n == least) | (F.length(p) >= n))
+        return once(F.concat(F.lit(" "), w, F.lit(" ")), lambda p: F.flatten(F.transform(sizes(p), lambda n: run(p, n))))
+
+    return F.flatten(F.transform(F.filter(F.split(text, " "), lambda w: w != ""), of_word))
+
+
+def token_span(offsets: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """First and end (exclusive) of the tokens whose offsets (start, end) overlap a span of characters; null if none does."""
+    hit = F.filter(F.transform(offsets, lambda o, i: F.when((o["start"] < end) & (o["end"] > start), i)), lambda i: i.isNotNull())
+    return F.array_min(hit), F.array_max(hit) + 1
+
+
+def canonical_digest(*names: str) -> Column:
+    """sha256 of the columns as a JSON object with sorted keys, no blanks, and nulls written."""
+    return F.sha2(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}), 256)
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def l1(a: str, b: str) -> Column:
+    return total(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+
+
+def l2(a: str, b: str) -> Column:
+    return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
+
+
+def mean_product(a: str, b: str) -> Column:
+    """Mean absolute product of components."""
+    return total(F.zip_with(a, b, lambda x, y: F.abs(x * y))) / F.size(a)
+
+
+def interaction(a: str, b: str) -> Column:
+    """Both vectors, their absolute differences and their products, one after the other."""
+    return F.concat(F.col(a), F.col(b), F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.zip_with(a, b, lambda x, y: x * y))

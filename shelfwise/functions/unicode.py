@@ -5,36 +5,46 @@ from __future__ import annotations
 import difflib
 import html
 import re
-import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
-TAG, OTHER, SPACE = re.compile(r"<[^>]+>"), re.compile(r"[^0-9a-zа-я]+"), re.compile(r"\s+")
+from shelfwise.functions import text as T
 
 #: Types as objects: workers import this module, and have no session to read a type's text with.
 SPANS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()))
 
 
-def canonical_text(value: str | None) -> str:
-    """References decoded, tags gone, compatibility forms joined, lower case, yo as ye, other characters as single spaces."""
-    plain = unicodedata.normalize("NFKC", TAG.sub(" ", html.unescape(value or ""))).lower().replace("ё", "е")
-    return OTHER.sub(" ", plain).strip()
+@F.pandas_udf(StringType())
+def dereferenced(text: pd.Series) -> pd.Series:
+    """Character references as the characters that they name."""
+    return text.map(html.unescape, na_action="ignore")
 
 
-def folded_text(value: str | None) -> str:
-    return " ".join(unicodedata.normalize("NFKC", value or "").casefold().split())
+@F.pandas_udf(StringType())
+def compatible(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFKC")
 
 
 @F.pandas_udf(StringType())
-def canonical(text: pd.Series) -> pd.Series:
-    return text.map(canonical_text, na_action=None)
+def compatible_folded(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFKC").str.casefold()
 
 
-@F.pandas_udf(StringType())
-def case_folded(text: pd.Series) -> pd.Series:
-    return text.map(folded_text, na_action=None)
+def canonical(text: Column) -> Column:
+    """As T.normalized, of all character references and with compatibility forms joined; these two steps alone are Python."""
+    return T.cleaned(compatible(T.untagged(dereferenced(T.filled(text)))))
+
+
+#: White space that a split at blanks knows, beside what \\s stands for.
+BLANKS = "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+
+
+def case_folded(text: Column) -> Column:
+    """Compatibility forms joined, case folded, white space collapsed."""
+    return F.trim(F.regexp_replace(compatible_folded(T.filled(text)), BLANKS, " "))
 
 
 @F.pandas_udf(DoubleType())

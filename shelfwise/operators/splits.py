@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import stable_rank
+from shelfwise.operators.windows import ordinal, top_per_group
 
 
 def hash_folds(component: Column, folds: int, seed: str) -> Column:
@@ -20,16 +21,21 @@ def quota(rows: DataFrame, stratum: list[str], key: Column, n: int) -> DataFrame
 
 
 def hard_random(rows: DataFrame, uncertainty: str, key: Column, by: list[str], n: int) -> DataFrame:
-    """Of each group half the rows of least uncertainty value, then as many of the rest by least key; kind tells which."""
-    hard = rows.withColumn("key_", key).withColumn("hard_", F.row_number().over(Window.partitionBy(*by).orderBy(uncertainty, "key_")) <= n // 2)
-    place = F.row_number().over(Window.partitionBy(*by, "hard_").orderBy("key_"))
-    out = hard.withColumn("place_", place).where(F.col("hard_") | (F.col("place_") <= n - n // 2))
-    return out.withColumn("kind", F.when(F.col("hard_"), "hard").otherwise("random")).drop("key_", "hard_", "place_")
+    """Of each group half the rows of least uncertainty value, then as many of the rest by least key; kind tells which.
+
+    Keys are distinct. Both halves keep n rows of a group in each task before any is shuffled.
+    """
+    keyed, names = rows.withColumn("key_", key), [*rows.columns, "kind"]
+    hard = top_per_group(keyed, by, [F.col(uncertainty), F.col("key_")], n // 2).withColumn("kind", F.lit("hard"))
+    rest = keyed.join(hard.select("key_"), "key_", "left_anti")
+    random = top_per_group(rest, by, [F.col("key_")], n - n // 2).withColumn("kind", F.lit("random"))
+    return hard.select(*names).unionByName(random.select(*names))
 
 
 def round_robin(rows: DataFrame, bucket: list[str], key: Column) -> DataFrame:
-    """turn: the row's place within its bucket; rows in order of (turn, key) interleave the buckets."""
-    return rows.withColumn("key_", key).withColumn("turn", F.row_number().over(Window.partitionBy(*bucket).orderBy("key_"))).drop("key_")
+    """turn: the row's place within its bucket; rows in order of (turn, key) interleave the buckets. Keys are hex digits."""
+    keyed = rows.withColumn("key_", key).withColumn("number_", F.conv(F.substring("key_", 1, 12), 16, 10).cast("double"))
+    return ordinal(keyed, "number_", "key_", bucket).select(*rows.columns, (F.col("place_") + 1).cast("int").alias("turn"))
 
 
 def exact_share(rows: DataFrame, stratum: list[str], key: Column, percent: int, tie: str, rounded: bool = False) -> DataFrame:

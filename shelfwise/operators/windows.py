@@ -5,21 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-
-
-def rank01(order: list[Column], by: list[str]) -> Column:
-    """Position in order, from 0 to 1; a single row gets 0."""
-    w = Window.partitionBy(*by)
-    n = F.count(F.lit(1)).over(w)
-    return F.when(n > 1, (F.row_number().over(w.orderBy(*order)) - 1) / (n - 1)).otherwise(0.0)
-
+from shelfwise.operators.lineage import cut_lineage
 
-def average_rank(order: Column, by: list[str]) -> Column:
-    """From 1, ties share the mean of their positions."""
-    w = Window.partitionBy(*by)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, order))
-    return F.rank().over(w.orderBy(order)) + (ties - 1) / 2
+BUCKETS = 64
 
 
 def bucketed(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
@@ -34,9 +22,10 @@ def bucketed(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
 def running_totals(df: DataFrame, key: str, sums: dict[str, str], descending: bool = True, by: list[str] | None = None) -> DataFrame:
     """Sums of columns over all rows up to each, in order of key, whose values are distinct within `by`.
 
-    Buckets of the key are summed first; a row adds those before its bucket to the running sum within it.
+    Buckets of the key are summed first; a row adds those before its bucket to the running sum within it. The rows are
+    written once, since where to cut, the sums and the rows themselves all need them.
     """
-    by = by or []
+    by, df = by or [], cut_lineage(df)
     cut = bucketed(df, key)
     total = cut.groupBy(*by, "bucket_").agg(*(F.sum(c).alias(f"{n}_of_bucket") for n, c in sums.items()))
     order = F.desc("bucket_") if descending else F.asc("bucket_")
@@ -53,7 +42,7 @@ def ordinal(df: DataFrame, score: str, tie: str, by: list[str], descending: bool
     Equal scores are counted before anything is ordered, so a group of a few categories is no task of its own.
     Rows whose score or group is null are left out.
     """
-    blocks = df.groupBy(*by, score).agg(F.count("*").alias("size_"))
+    blocks = cut_lineage(df.groupBy(*by, score).agg(F.count("*").alias("size_")))
     seen = running_totals(blocks, score, {"seen_": "size_"}, descending, by)
     n = blocks.groupBy(*by).agg(F.sum("size_").alias("n_"))
     within = F.row_number().over(Window.partitionBy(*by, score).orderBy(tie))
@@ -67,6 +56,13 @@ def scaled_place(place: Column, n: Column) -> Column:
     return F.when(n > 1, place / (n - 1)).otherwise(0.0)
 
 
+def tile(place: Column, n: Column, tiles: int) -> Column:
+    """Which of `tiles` parts, from 1, the row at a place from 0 lies in; the first parts take what is left over."""
+    size, more = F.floor(n / tiles), n % tiles
+    long = more * (size + 1)
+    return F.when(place < long, F.floor(place / (size + 1))).otherwise(more + F.floor((place - long) / F.greatest(size, F.lit(1)))).cast("int") + 1
+
+
 def leave_one_out(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """loo_count and loo_mean of the other rows of the group; null mean when alone."""
     stats = df.groupBy(*by).agg(F.count(value).alias("n_"), F.sum(value).alias("s_"))

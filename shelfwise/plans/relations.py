@@ -100,7 +100,9 @@ def jn28_parameter_grid(d):
 
 @query("SELECT category, count(DISTINCT family) AS families, count(DISTINCT family) FILTER (WHERE fold > 0) AS of_donors, median(score) AS middle FROM cards GROUP BY category", "cards")
 def agg6_filtered_distinct(d):
-    return d.groupBy("category").agg(F.countDistinct("family").alias("families"), F.countDistinct(F.when(c("fold") > 0, c("family"))).alias("of_donors"), F.percentile("score", 0.5).alias("middle"))
+    middle = windows.quantiles(d, "score", "id", ["category"], [0.5]).select("category", c("quantiles")[0].alias("middle"))
+    counts = d.groupBy("category").agg(F.countDistinct("family").alias("families"), F.countDistinct(F.when(c("fold") > 0, c("family"))).alias("of_donors"))
+    return counts.join(middle, "category")
 
 
 @query("SELECT category, list_min(l) AS least, l[CAST(round_even((len(l) - 1) * 0.5, 0) AS INTEGER) + 1] AS middle, l[CAST(round_even((len(l) - 1) * 0.95, 0) AS INTEGER) + 1] AS high, list_max(l) AS most FROM (SELECT category, list_sort(list(CAST(floor(score) AS BIGINT))) AS l FROM cards GROUP BY category)", "cards")

@@ -55,7 +55,7 @@ def win21_fixed_bins(d):
 def fn12_zscore(t):
     d = heads(t)
     s = d.groupBy("category").agg(F.avg("a").alias("m"), F.greatest(F.stddev_pop("a"), F.lit(1e-4)).alias("s"))
-    return d.join(F.broadcast(s), "category").select("id", F.round((c("a") - c("m")) / c("s"), 5).alias("z"))
+    return d.join(s, "category").select("id", F.round((c("a") - c("m")) / c("s"), 5).alias("z"))
 
 
 # ---- fusion ----
@@ -90,7 +90,7 @@ def fus9_nested_selection(t):
 def fus21_cross_fold_predictions(t):
     d = heads(t)
     best = fusion.grid_thresholds(d, "a", "label", ["category"], "fold").select("category", "fold", "threshold")
-    return d.join(F.broadcast(best), ["category", "fold"]).select("id", (c("a") >= c("threshold")).cast("int").alias("predicted"))
+    return d.join(best, ["category", "fold"]).select("id", (c("a") >= c("threshold")).cast("int").alias("predicted"))
 
 
 BLOCKS = """WITH b AS (SELECT category, score, count(*) AS n, sum(label) AS pos FROM cards GROUP BY ALL),
@@ -113,9 +113,9 @@ def fus17_logit_mean(t):
 def fus20_quantile_override(t):
     """A prediction changes only where the other head is among the most confident fifth of its category."""
     d = heads(t).withColumn("confidence", F.abs(c("b") - 0.5))
-    q = d.groupBy("category").agg(F.percentile("confidence", 0.8).alias("q"))
+    q = windows.quantiles(d, "confidence", "id", ["category"], [0.8]).select("category", c("quantiles")[0].alias("q"))
     sure = c("confidence") >= c("q")
-    return d.join(F.broadcast(q), "category").select("id", F.when(sure, (c("b") >= 0.5).cast("int")).otherwise(c("base")).alias("predicted"))
+    return d.join(q, "category").select("id", F.when(sure, (c("b") >= 0.5).cast("int")).otherwise(c("base")).alias("predicted"))
 
 
 @query(f"WITH {HEADS} SELECT id, round(abs(a - 0.25) - 0.025 * CAST(base <> cand AS INTEGER), 8) AS uncertainty, CASE WHEN abs(a - 0.25) < 0.05 AND abs(b - 0.5) > 0.4 AND base <> CAST(b >= 0.5 AS INTEGER) THEN 1 - base ELSE base END AS gated, round(0.7 * label + 0.3 * b, 6) AS soft_target FROM heads")
@@ -141,7 +141,7 @@ def pri11_smoothed_posterior(t):
 
 
 @query("WITH f AS (SELECT family, min(label) AS label FROM cards WHERE fold <> 0 GROUP BY family HAVING min(label) = max(label) AND count(*) >= 2) SELECT id, coalesce(f.label, CAST(score >= 150000 AS INTEGER)) AS predicted, CASE WHEN f.label IS NULL THEN 'NONE' ELSE 'FAMILY' END AS source FROM cards LEFT JOIN f USING (family) WHERE fold = 0")
-def pri3_consistent_lookup(t):
+def pri2_consistent_lookup(t):
     known = t("cards").where("fold != 0").groupBy("family").agg(F.min("label").alias("sure"), F.max("label").alias("most"), F.count("*").alias("n"))
     known = known.where("sure = most AND n >= 2").select("family", "sure")
     out = t("cards").where("fold = 0").join(known, "family", "left")
@@ -173,7 +173,7 @@ def met10_cohorts(t):
     f1_of = lambda p: F.coalesce(2 * F.sum(c("label") * c(p)) / F.nullif(F.sum("label") + F.sum(p), F.lit(0)), F.lit(0.0))
     g = each.groupBy("cohort", "category").agg(F.count("*").alias("n"), F.avg("label").alias("rate"), (f1_of("cand") - f1_of("base")).alias("delta"))
     whole = d.groupBy("category").agg(F.avg("label").alias("whole"))
-    return g.join(F.broadcast(whole), "category").select("cohort", "category", "n", F.round(c("rate") / F.nullif(c("whole"), F.lit(0.0)), 6).alias("lift"), F.round("delta", 6).alias("delta"))
+    return g.join(whole, "category").select("cohort", "category", "n", F.round(c("rate") / F.nullif(c("whole"), F.lit(0.0)), 6).alias("lift"), F.round("delta", 6).alias("delta"))
 
 
 @query(f"WITH {HEADS}, g AS (SELECT fold, category, coalesce(2 * sum(label * cand) / nullif(sum(label) + sum(cand), 0), 0) - coalesce(2 * sum(label * base) / nullif(sum(label) + sum(base), 0), 0) AS d FROM heads GROUP BY ALL), f AS (SELECT fold, avg(d) AS d FROM g GROUP BY fold) SELECT count(*) FILTER (WHERE d > 0) AS wins, round(min(d), 6) AS worst, round(avg(d), 6) AS mean, avg(d) >= 0.003 AND count(*) FILTER (WHERE d > 0) >= 4 AND min(d) >= -0.005 AS accepted FROM f")
@@ -186,8 +186,9 @@ def met20_fold_gate(t):
 
 @query("SELECT count(*) AS vectors, count(*) FILTER (WHERE norm = 0) AS zeros, round(min(norm), 5) AS least, round(quantile_cont(norm, 0.5), 5) AS middle, round(max(norm), 5) AS most FROM (SELECT sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings)", "embeddings")
 def met26_norms(d):
-    n = d.select(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm"))
-    return n.agg(F.count("*").alias("vectors"), F.count_if(c("norm") == 0).alias("zeros"), F.round(F.min("norm"), 5).alias("least"), F.round(F.percentile("norm", 0.5), 5).alias("middle"), F.round(F.max("norm"), 5).alias("most"))
+    n = d.select("vec_id", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm"))
+    middle = windows.quantiles(n.withColumn("all", F.lit(0)), "norm", "vec_id", ["all"], [0.5]).select(F.round(c("quantiles")[0], 5).alias("middle"))
+    return n.agg(F.count("*").alias("vectors"), F.count_if(c("norm") == 0).alias("zeros"), F.round(F.min("norm"), 5).alias("least"), F.round(F.max("norm"), 5).alias("most")).crossJoin(middle)
 
 
 @query("WITH s AS (SELECT family, count(*) AS n FROM cards GROUP BY family) SELECT CASE WHEN n = 1 THEN 'single' WHEN n <= 2 THEN 'rare' ELSE 'repeated' END AS kind, count(*) AS rows, round(avg(label), 6) AS rate FROM cards JOIN s USING (family) GROUP BY ALL")

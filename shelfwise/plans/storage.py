@@ -66,14 +66,6 @@ def snk4_nested_jsonl(t):
     return back.select("conv_id", F.transform("turns", lambda x: x["role"]).alias("roles"), F.size("turns").cast("bigint").alias("turns"))
 
 
-@query("SELECT id, 'card ' || id || ' of ' || category || ' was judged by its score and its family only' AS comment, label AS verdict FROM cards", "cards")
-def snk7_submission(d):
-    comment = F.concat(F.lit("card "), c("id").cast("string"), F.lit(" of "), c("category"), F.lit(" was judged by its score and its family only"))
-    path = place(d.sparkSession)
-    sinks.write_csv(d.select("id", sinks.rendered(comment, c("label")).alias("result")), path)
-    return scans.csv(d.sparkSession, path, "id bigint, result string").select("id", *sinks.parsed(c("result")))
-
-
 @query("SELECT id % 4 AS shard, count(*) AS rows, 0 AS faults FROM cards GROUP BY ALL", "cards")
 def src21_shards(d):
     owned = d.withColumn("shard", F.pmod("id", F.lit(4)))

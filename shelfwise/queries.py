@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import text as T
 from shelfwise.operators import metrics, priors, resolution, retrieval, splits, windows
+from shelfwise.operators.lineage import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -179,8 +180,10 @@ def jn11_semi(t):
 @query("WITH s AS (SELECT a.id AS query, b.id AS donor, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS rank FROM cards a JOIN cards b ON a.family = b.family AND a.category = b.category AND a.fold <> b.fold) SELECT query, donor, CAST(rank AS INTEGER) AS rank FROM s WHERE rank <= 3")
 def jn14_cross_fold_donors(t):
     d = t("cards")
+    # Three donors of each fold are enough for the first three of other folds: a family's pairs stay bounded.
+    few = windows.top_per_group(d, ["family", "category", "fold"], [c("id")], 3)
     a = d.select("family", "category", c("id").alias("query"), c("fold").alias("fold_a"))
-    b = d.select("family", "category", c("id").alias("donor"), c("fold").alias("fold_b"))
+    b = few.select("family", "category", c("id").alias("donor"), c("fold").alias("fold_b"))
     pairs = a.join(b, ["family", "category"]).where("fold_a != fold_b")
     return windows.top_per_group(pairs, ["query"], [c("donor")], 3).select("query", "donor", c("place").alias("rank"))
 
@@ -227,8 +230,8 @@ def agg8_pivot(d):
 
 @query("SELECT category, median(score) AS median, quantile_cont(score, 0.95) AS p95, quantile_cont(score, 0.99) AS p99 FROM cards GROUP BY category".replace("median(score)", "round(median(score), 6)").replace("quantile_cont(score, 0.95)", "round(quantile_cont(score, 0.95), 6)").replace("quantile_cont(score, 0.99)", "round(quantile_cont(score, 0.99), 6)"), "cards")
 def agg10_quantiles(d):
-    q = lambda p: F.round(F.percentile("score", F.lit(p)), 6)
-    return d.groupBy("category").agg(q(0.5).alias("median"), q(0.95).alias("p95"), q(0.99).alias("p99"))
+    q = windows.quantiles(d, "score", "id", ["category"], [0.5, 0.95, 0.99])
+    return q.select("category", *(F.round(c("quantiles")[i], 6).alias(n) for i, n in enumerate(("median", "p95", "p99"))))
 
 
 @query(f"SELECT term, count(*) AS n FROM (SELECT unnest(list_filter(string_split({NORMAL}, ' '), lambda t: t <> '')) AS term FROM documents) GROUP BY term", "documents")
@@ -282,12 +285,13 @@ def agg25_id_digest(d):
 
 @query("SELECT id, round(CASE WHEN count(*) OVER w > 1 THEN (row_number() OVER (PARTITION BY fold, category ORDER BY score, id) - 1) / (count(*) OVER w - 1.0) ELSE 0 END, 9) AS rank01 FROM cards WINDOW w AS (PARTITION BY fold, category)", "cards")
 def win3_rank01(d):
-    return d.select("id", F.round(windows.rank01([c("score"), c("id")], ["fold", "category"]), 9).alias("rank01"))
+    placed = windows.ordinal(d, "score", "id", ["fold", "category"])
+    return placed.select("id", F.round(windows.scaled_place(c("place_"), c("n_")), 9).alias("rank01"))
 
 
 @query("SELECT id, (rank() OVER (PARTITION BY category ORDER BY family) + (count(*) OVER (PARTITION BY category, family) - 1) / 2.0) AS average_rank FROM cards".replace("/ 2.0) AS", "/ 2.0)::DOUBLE AS"), "cards")
 def win6_average_rank(d):
-    return d.select("id", windows.average_rank(c("family"), ["category"]).alias("average_rank"))
+    return windows.ordinal(d, "family", "id", ["category"]).select("id", c("average_").cast("double").alias("average_rank"))
 
 
 @query("SELECT id, count(*) OVER w - 1 AS loo_count, round(CASE WHEN count(*) OVER w > 1 THEN (sum(label) OVER w - label) / (count(*) OVER w - 1.0) END, 9) AS loo_mean FROM cards WINDOW w AS (PARTITION BY family)", "cards")
@@ -304,8 +308,8 @@ def win22_family_kind(d):
 
 @query("SELECT id, CAST(ntile(4) OVER (PARTITION BY category ORDER BY score, id) AS INTEGER) AS quartile, CASE WHEN score <= 50000 THEN 0 WHEN score <= 150000 THEN 1 WHEN score <= 300000 THEN 2 ELSE 3 END AS bin FROM cards", "cards")
 def win11_bins(d):
-    quartile = F.ntile(4).over(Window.partitionBy("category").orderBy("score", "id"))
-    return d.select("id", quartile.alias("quartile"), F.when(c("score") <= 50000, 0).when(c("score") <= 150000, 1).when(c("score") <= 300000, 2).otherwise(3).alias("bin"))
+    placed = windows.ordinal(d, "score", "id", ["category"])
+    return placed.select("id", windows.tile(c("place_"), c("n_"), 4).alias("quartile"), F.when(c("score") <= 50000, 0).when(c("score") <= 150000, 1).when(c("score") <= 300000, 2).otherwise(3).alias("bin"))
 
 
 @query("WITH b AS (SELECT score, count(*) AS n, CAST(sum(label) AS BIGINT) AS pos FROM cards GROUP BY score) SELECT score, n, pos, CAST(sum(n) OVER w AS BIGINT) AS seen, CAST(sum(pos) OVER w AS BIGINT) AS tp FROM b WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)", "cards")
@@ -375,7 +379,7 @@ def er21_recurrence(t):
 
 
 @query("SELECT id, CAST(('0x' || substring(sha256('folds' || chr(0) || CAST(family AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER) AS component_fold FROM cards", "cards")
-def smp5_component_folds(d):
+def hash_component_folds(d):
     return d.select("id", splits.hash_folds(c("family").cast("string"), 5, "folds").alias("component_fold"))
 
 
@@ -413,10 +417,12 @@ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC,
 
 @query(f"{TERMS} SELECT query, donor, rank FROM k WHERE rank <= 10")
 def ret4_bm25(t):
-    docs = t("documents")
-    posts = retrieval.postings(docs, "doc_id", T.tokens(c("text")))
-    n, mean = docs.agg(F.count("*"), F.avg(F.size(T.tokens(c("text"))))).first()
-    return retrieval.search(asked(t("benchmark")), retrieval.bm25(posts, n, mean or 1.0), 10).select("query", "donor", "rank")
+    docs = t("documents").select("doc_id", "text")
+    queries = asked(t("benchmark"))
+    whole = cut_lineage(docs.select("doc_id", T.tokens(c("text")).alias("tokens")))
+    n, mean = whole.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+    held = retrieval.held_terms(whole, "doc_id", c("tokens"), queries)
+    return retrieval.search(queries, retrieval.bm25(held, n, mean or 1.0), 10).select("query", "donor", "rank")
 
 
 @query("""WITH a AS (SELECT id AS query, 'score' AS channel, id + 1 AS donor, CAST(1 + id % 7 AS INTEGER) AS rank FROM cards), b AS (SELECT id AS query, 'text' AS channel, id + 1 + id % 2 AS donor, CAST(1 + id % 3 AS INTEGER) AS rank FROM cards),
@@ -434,14 +440,14 @@ def ret10_rrf(t):
 
 @query("""WITH f AS (SELECT family, avg(label) AS p FROM cards WHERE fold <> 0 GROUP BY family), g AS (SELECT category, avg(label) AS p FROM cards WHERE fold <> 0 GROUP BY category)
 SELECT id, round(coalesce(f.p, g.p), 9) AS prior, CASE WHEN f.p IS NOT NULL THEN 'family' WHEN g.p IS NOT NULL THEN 'category' END AS stage FROM cards LEFT JOIN f ON f.family = cards.family LEFT JOIN g ON g.category = cards.category WHERE fold = 0""")
-def pri1_cascade(t):
+def jn13_mean_cascade(t):
     d = t("cards").withColumn("family", c("family").cast("string"))
     out = priors.cascade(d.where("fold = 0"), d.where("fold != 0"), ["family", "category"], "label")
     return out.select("id", F.round("prior", 9).alias("prior"), "stage")
 
 
 @query("WITH g AS (SELECT a.id, count(b.id) AS support, avg(b.label) AS prior FROM cards a LEFT JOIN cards b ON a.family = b.family AND a.fold <> b.fold GROUP BY a.id) SELECT id, support, round(prior, 9) AS prior FROM g")
-def pri2_cross_fold(t):
+def pri5_cross_fold(t):
     return priors.cross_fold(t("cards"), "family", "label", "fold").select("id", "support", F.round("prior", 9).alias("prior"))
 
 
@@ -455,21 +461,21 @@ def met1_f1(d):
 
 
 @query("WITH p AS (SELECT category, label, CAST(score >= 150000 AS INTEGER) AS pred FROM cards), g AS (SELECT category, 2.0 * sum(label * pred) / nullif(sum(label) + sum(pred), 0) AS f1 FROM p GROUP BY category) SELECT round(avg(coalesce(f1, 0)), 9) AS macro_f1, count(*) AS categories FROM g", "cards")
-def met2_macro_f1(d):
+def met3_macro_f1(d):
     out = metrics.macro_f1(d.withColumn("pred", (c("score") >= 150000).cast("int")), "category", "label", "pred")
     return out.withColumn("macro_f1", F.round("macro_f1", 9))
 
 
 @query("WITH b AS (SELECT category, score, count(*) AS n, sum(label) AS pos FROM cards GROUP BY ALL), s AS (SELECT *, sum(n) OVER w AS seen, sum(pos) OVER w AS tp FROM b WINDOW w AS (PARTITION BY category ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) SELECT category, CAST(sum(pos) AS BIGINT) AS positives, round(sum(pos * CAST(tp AS DOUBLE) / seen) / nullif(sum(pos), 0), 9) AS ap FROM s GROUP BY category", "cards")
-def met3_average_precision(d):
+def met4_average_precision(d):
     return metrics.average_precision(d, "score", "label", ["category"]).withColumn("ap", F.round("ap", 9))
 
 
 @query("WITH b AS (SELECT category, score, count(*) AS n, sum(label) AS pos FROM cards GROUP BY ALL), s AS (SELECT *, sum(n) OVER w AS seen, sum(pos) OVER w AS tp, sum(pos) OVER (PARTITION BY category) AS p FROM b WINDOW w AS (PARTITION BY category ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), f AS (SELECT category, score, CAST(2 * tp AS DOUBLE) / (seen + p) AS f1 FROM s) SELECT category, first(score ORDER BY f1 DESC, score DESC) AS threshold, round(max(f1), 9) AS f1 FROM f GROUP BY category", "cards")
-def met4_best_threshold(d):
+def fus12_best_threshold(d):
     return metrics.best_threshold(d, "score", "label", ["category"]).withColumn("f1", F.round("f1", 9))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average precision of each category, ties as one step."""
-    return QUERIES["met3_average_precision"](spark, sf_dir)
+    return QUERIES["met4_average_precision"](spark, sf_dir)

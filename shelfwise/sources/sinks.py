@@ -26,17 +26,26 @@ def nested(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias(name))
 
 
-def rendered(comment: Column, verdict: Column) -> Column:
-    """A comment of 50 to 300 characters without tags and a verdict 0 or 1 in the submission's form; others raise."""
-    ok = F.length(comment).between(50, 300) & ~comment.contains("<") & ~comment.contains(">") & verdict.isin(0, 1)
-    return checked(F.format_string("<комментарий>%s</комментарий><вердикт>%d</вердикт>", comment, verdict.cast("int")), ok, "not a submission")
+#: The submission's opening tags, which have no closing ones, its two verdicts, for labels 0 and 1, and a comment's length.
+OPEN, VERDICT, VERDICTS, LENGTH = "<комментарий>", "<вердикт>", ("бан", "не бан"), (50, 300)
 
 
-def parsed(result: Column) -> list[Column]:
-    """comment and verdict of a rendered result; null where it has another form."""
-    form = "(?s)^<комментарий>([^<>]*)</комментарий><вердикт>([01])</вердикт>$"
-    part = lambda i: F.when(result.rlike(form), F.regexp_extract(result, form, i))
-    return [part(1).alias("comment"), part(2).cast("int").alias("verdict")]
+def well_formed(answer: Column) -> Column:
+    """Whether an answer is a comment of allowed length and a verdict, in the submission's form."""
+    return answer.rlike(f"(?s)^{OPEN}.{{{LENGTH[0]},{LENGTH[1]}}}{VERDICT}(?:{'|'.join(VERDICTS)})\\z")
+
+
+def rendered(comment: Column, label: Column) -> Column:
+    """The answer of a comment and a label; a comment of another length or with tags in it, or another label, raises."""
+    ok = F.length(comment).between(*LENGTH) & ~comment.contains(OPEN) & ~comment.contains(VERDICT) & label.isin(0, 1)
+    return checked(F.concat(F.lit(OPEN), comment, F.lit(VERDICT), F.when(label == 1, VERDICTS[1]).otherwise(VERDICTS[0])), ok, "not a submission")
+
+
+def parsed(answer: Column) -> list[Column]:
+    """comment, verdict and label of an answer; null where it has another form."""
+    form = f"(?s)^{OPEN}(.*){VERDICT}({'|'.join(VERDICTS)})\\z"
+    part = lambda i: F.when(well_formed(answer), F.regexp_extract(answer, form, i))
+    return [part(1).alias("comment"), part(2).alias("verdict"), F.when(well_formed(answer), (part(2) == VERDICTS[1]).cast("int")).alias("label")]
 
 
 def table_digest(df: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def test_f1_without_positives(spark):
 
 def test_rank01_of_one_row_is_zero(spark):
     d = spark.createDataFrame([("a", 2.0), ("a", 1.0), ("b", 5.0)], "k string, v double")
-    assert {(r.k, r.v): r.r for r in d.withColumn("r", windows.rank01([F.col("v")], ["k"])).collect()} == {("a", 2.0): 1.0, ("a", 1.0): 0.0, ("b", 5.0): 0.0}
+    assert {(r.k, r.v): r.r for r in windows.ordinal(d, "v", "v", ["k"]).withColumn("r", windows.scaled_place(F.col("place_"), F.col("n_"))).collect()} == {("a", 2.0): 1.0, ("a", 1.0): 0.0, ("b", 5.0): 0.0}
 
 
 def test_components_equal_union_find(spark):
