@@ -44,12 +44,15 @@ def overlap_pairs(rows: DataFrame, node: str, items: Column, least: int, share:
     """Pairs whose item sets share at least `least` items that at most `rarest` rows hold, with Jaccard of all items >= share."""
     sets = cut_lineage(rows.select(F.col(node).alias("node"), items.alias("items")).where(F.size("items") > 0))
     each = sets.select("node", F.size("items").alias("n"), F.explode("items").alias("item"))
-    rare = each.groupBy("item").agg(F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("df") <= rarest))
-    kept = each.join(rare.select("item"), "item")
-    a, b = (kept.select("item", F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
-    pairs = a.join(b, "item").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("rare"))
-    # Sets whose sizes are too far apart can't be alike enough, whatever they share.
-    pairs = pairs.where((F.col("rare") >= least) & (F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")))
+    df = each.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    held = cut_lineage(each.join(df, "item"))
+    common = held.groupBy("node").agg(F.count_if(F.col("df") > rarest).alias("common"))
+    kept = held.where(F.col("df") <= rarest).join(common, "node")
+    a, b = (kept.select("item", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("common").alias(f"common_{x}")) for x in ("a", "b"))
+    pairs = a.join(b, "item").where("a < b").groupBy("a", "b", "n_a", "n_b", "common_a", "common_b").agg(F.count("*").alias("rare"))
+    # Beside its rare items a pair shares at most the common ones of either set: pairs that can't be alike enough go before their items are met.
+    most = F.least(F.col("rare") + F.least("common_a", "common_b"), F.least("n_a", "n_b"))
+    pairs = pairs.where((F.col("rare") >= least) & (most >= share * (F.col("n_a") + F.col("n_b") - most)))
     one, two = (sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")) for x in ("a", "b"))
     both = F.size(F.array_intersect("items_a", "items_b"))
     out = pairs.join(one, "a").join(two, "b").withColumn("jaccard", both / (F.col("n_a") + F.col("n_b") - both))
