@@ -43,7 +43,7 @@ def shingles(x: str) -> str:
 
 
 SIMILAR = "CAST(len(list_intersect(l.s, r.s)) AS DOUBLE) / (len(l.s) + len(r.s) - len(list_intersect(l.s, r.s)))"
-ROWS = f"cr AS (SELECT fc.*, {shingles('lower(description)')} AS s, fe, fp FROM fc LEFT JOIN ff USING (id))"
+ROWS = f"cr AS (SELECT fc.*, {shingles("replace(lower(description), '-', ' ')")} AS s, fe, fp FROM fc LEFT JOIN ff USING (id))"
 TORN = "(l.fp IS NOT NULL AND r.fp IS NOT NULL AND coalesce(l.fe <> r.fe, true) AND l.fp <> r.fp)"
 TEXTS = """tg AS (SELECT full_text, min(id) AS first_id, count(*) AS degree,
   CASE WHEN count(DISTINCT CASE WHEN fp IS NOT NULL THEN coalesce(fe, 'none ' || id) END) > 1 AND count(DISTINCT fp) > 1 THEN 'quarantined_first_image_conflict'
