@@ -8,9 +8,13 @@ occurrence of a key, informative or not; so what a key's pairs cost is bounded b
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from shelfwise.functions import text as T
 from shelfwise.operators.lineage import cut_lineage
@@ -214,7 +218,8 @@ def replayed(edges: list[tuple], anchors: dict) -> list[tuple[bool, object, obje
 def safe_edges(edges: DataFrame, cards: DataFrame, images: DataFrame) -> DataFrame:
     """stage, left_id, right_id, key, accepted, witness_left and witness_right of each edge, replayed in order.
 
-    A veto looks only within what all edges together connect, so each such component is replayed by itself.
+    A veto looks only within what all edges together connect, so each such component, which the degree caps keep small,
+    is replayed by itself.
     """
     kind, edges = cards.schema["id"].dataType, cut_lineage(edges)
     ends = edges.select(c("left_id").alias("node")).unionByName(edges.select(c("right_id").alias("node"))).distinct()
@@ -223,23 +228,26 @@ def safe_edges(edges: DataFrame, cards: DataFrame, images: DataFrame) -> DataFra
         F.transform(F.coalesce("first_exact", F.array().cast("array<string>")), lambda k: F.concat(F.lit("e"), k)),
         F.transform(F.coalesce("first_perceptual", F.array().cast("array<string>")), lambda k: F.concat(F.lit("p"), k)),
     )
-    anchors = with_firsts(cards, images).select(c("id").alias("node"), "identity", firsts.alias("keys")).join(reach, "node").select("node", "identity", "keys", c("component").alias("of_anchors"))
+    anchor = F.struct("node", "identity", "keys")
+    anchors = with_firsts(cards, images).select(c("id").alias("node"), "identity", firsts.alias("keys")).join(reach, "node").groupBy("component").agg(F.collect_list(anchor).alias("anchors"))
     order = F.array_position(F.array(*map(F.lit, STAGES)), c("stage")).cast("int")
-    placed = edges.select("left_id", "right_id", "stage", "key", order.alias("place")).join(reach.select(c("node").alias("left_id"), c("component").alias("of_edges")), "left_id")
-
-    def replay(of_edges: pd.DataFrame, of_anchors: pd.DataFrame) -> pd.DataFrame:
-        known = {n: (i, frozenset(k)) for n, i, k in zip(of_anchors["node"], of_anchors["identity"], of_anchors["keys"])}
-        rows = of_edges.sort_values(["place", "left_id", "right_id", "key"], kind="stable").reset_index(drop=True)
-        found = replayed(list(zip(rows["left_id"], rows["right_id"])), known)
-        out = rows[["stage", "left_id", "right_id", "key"]].copy()
-        out["accepted"] = [f[0] for f in found]
-        out["witness_left"] = pd.Series([f[1] for f in found], dtype=object)
-        out["witness_right"] = pd.Series([f[2] for f in found], dtype=object)
-        return out
-
+    edge = F.struct(order.alias("place"), "left_id", "right_id", "key", "stage")
+    placed = edges.join(reach.select(c("node").alias("left_id"), "component"), "left_id").groupBy("component").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    names = ("stage", "left_id", "right_id", "key")
     name = kind.simpleString()
     schema = f"stage string, left_id {name}, right_id {name}, key string, accepted boolean, witness_left {name}, witness_right {name}"
-    return placed.groupBy("of_edges").cogroup(anchors.groupBy("of_anchors")).applyInPandas(lambda l, r: replay(l, r), schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for rows, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                known = {a["node"]: (a["identity"], frozenset(a["keys"])) for a in held}
+                found = replayed([(r["left_id"], r["right_id"]) for r in rows], known)
+                out += [(*(r[n] for n in names), *f) for r, f in zip(rows, found)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    return placed.join(anchors, "component").select("edges", "anchors").mapInArrow(replay, schema)
 
 
 def stage_audit(nodes: DataFrame, edges: DataFrame, label: str, category: str) -> DataFrame:
