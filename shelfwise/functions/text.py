@@ -246,3 +246,8 @@ def mean_product(a: str, b: str) -> Column:
 def interaction(a: str, b: str) -> Column:
     """Both vectors, their absolute differences and their products, one after the other."""
     return F.concat(F.col(a), F.col(b), F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.zip_with(a, b, lambda x, y: x * y))
+
+
+def tree_digest(leaves: Column) -> Column:
+    """sha256 over lines of path, NUL and digest, in order of paths; leaves: an array of struct(path, digest) of bounded size."""
+    return F.sha2(F.array_join(F.transform(F.sort_array(leaves), lambda x: F.concat(x["path"], F.lit("\0"), x["digest"])), "\n"), 256)

@@ -86,3 +86,37 @@ def position_gaps(images: DataFrame, most: int = 5) -> DataFrame:
     """Ids whose positions aren't 0 to n - 1, or that have more than `most`."""
     held = images.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("position").alias("d"), F.min("position").alias("low"), F.max("position").alias("high"))
     return held.where((F.col("low") != 0) | (F.col("high") != F.col("n") - 1) | (F.col("d") != F.col("n")) | (F.col("n") > most)).select("id", "n")
+
+
+def in_order(df: DataFrame, position: str) -> DataFrame:
+    """The rows, whose positions must be all numbers from 0 on, once each: each row checks counts that were made of all."""
+    whole = df.agg(F.count("*").alias("n_"), F.min(position).alias("least_"), F.max(position).alias("most_"))
+    twice = df.groupBy(position).agg(F.count("*").alias("times_"))
+    ok = (F.col("times_") == 1) & (F.col("least_") == 0) & (F.col("most_") == F.col("n_") - 1)
+    met = df.join(twice, position).crossJoin(F.broadcast(whole))
+    return met.select(*(checked(F.col(c), ok, "lines out of order").alias(c) if c == position else F.col(c) for c in df.columns))
+
+
+def id_list(text: Column) -> Column:
+    """Ids of a JSON list of ids, of a list of records with an id, or of a record with the list; else null."""
+    plain, records, whole = (F.from_json(text, t) for t in ("array<string>", "array<struct<id:string>>", "struct<ids:array<string>>"))
+    of_records = F.transform(records, lambda r: r["id"])
+    first = F.substring(F.regexp_replace(text, r"\s+", ""), 1, 2)
+    return F.when(first == "[{", of_records).when(F.left(first, F.lit(1)) == "[", plain).when(F.left(first, F.lit(1)) == "{", whole["ids"])
+
+
+def development(registry: DataFrame, split: str, component: str) -> DataFrame:
+    """Rows that aren't sealed. A component with rows on both sides is an error when one of its rows is read."""
+    torn = registry.groupBy(component).agg((F.min(split) != F.max(split)).alias("torn_"))
+    rows = registry.where(F.col(split) == "development").join(torn, component)
+    return rows.withColumn(split, checked(F.col(split), ~F.col("torn_"), "a component is sealed in part")).drop("torn_")
+
+
+def prediction_faults(predictions: DataFrame, expected: DataFrame, key: str, forbidden: list[str]) -> DataFrame:
+    """fault and ids: expected ids that are missing, ids that are unknown. A column that tells the label raises at once."""
+    if told := sorted(set(predictions.columns) & set(forbidden)):
+        raise ValueError(f"predictions hold {', '.join(told)}")
+    a, b = expected.select(key).distinct(), predictions.select(key).distinct()
+    sides = {"missing": a.join(b, key, "left_anti"), "unknown": b.join(a, key, "left_anti")}
+    missing, unknown = (d.agg(F.count("*").alias("ids")).select(F.lit(n).alias("fault"), "ids") for n, d in sides.items())
+    return missing.unionByName(unknown)

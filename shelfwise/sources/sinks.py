@@ -16,8 +16,9 @@ def write_csv(df: DataFrame, path: str, gzip: bool = False, sep: str = ",", by:
     (out.partitionBy(*by) if by else out).csv(path, header=True, sep=sep)
 
 
-def write_jsonl(df: DataFrame, path: str, gzip: bool = False) -> None:
-    df.write.mode("errorifexists").option("compression", "gzip" if gzip else "none").option("ignoreNullFields", False).json(path)
+def write_jsonl(df: DataFrame, path: str, gzip: bool = False, by: list[str] | None = None) -> None:
+    out = df.write.mode("errorifexists").option("compression", "gzip" if gzip else "none").option("ignoreNullFields", False)
+    (out.partitionBy(*by) if by else out).json(path)
 
 
 def nested(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
