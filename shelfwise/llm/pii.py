@@ -7,7 +7,9 @@ types together. It is trained here, by its exact gradient, on generated islands.
 certain spans is added; certain spans stay.
 
 Null and empty text give no spans. A text of any length is read whole: an island of any length is decoded in
-time linear in its tokens. Repeated rows are judged each by itself; only the named columns are read.
+time linear in its tokens. A segment, as the method asks, is bounded: SEGMENT_TOKENS and SEGMENT_CHARS. Words without a
+digit or at sign are in no island, so the field finds no names. Repeated rows are judged each by itself. Empty tables
+give no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -98,6 +100,8 @@ def features(span: str, before: str) -> list[str]:
     if "@" in span:
         out.append("at")
         out.append("address" if re.fullmatch(r"[\w.%+-]+@[\w-]+(\.[\w-]+)+", span, re.A) else "broken at")
+    elif re.search("[a-z]", span):
+        out.append("small letters")
     if 13 <= len(digits) <= 19:
         out.append("check holds" if luhn(digits) else "check fails")
     if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", span, re.A):
