@@ -3,6 +3,10 @@ live-looking secrets are masked, and what is left is encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the
 columns of documents; the last returns ids ready for training, checked by decoding them.
+
+Null texts count as empty: they pass the first stage if an empty text does, and every later one as they are. Rows equal
+in id and text are one row after the second stage. Empty tables give no rows. Texts of any length are read whole. Extra
+columns of any name are handed on by all stages but the last.
 """
 
 from __future__ import annotations

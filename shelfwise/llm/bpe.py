@@ -6,7 +6,7 @@ token, so it costs three point updates of logarithmic length, whatever the lengt
 that a worker meets for the first time are merged together, one numpy row and tree each; long ones one by one.
 
 Null text counts as empty: no tokens. A text of any length is encoded whole; repeated rows give repeated results.
-Only the id and text columns are read, so other columns' names don't matter.
+Empty tables give no rows. Only the id and text columns are read, so other columns' names don't matter.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ A wrapper is learned from all pages of a host, whole: each slice of pages gives
 aligned with each other in SALTS parts, then once more, so no host is too large for a task; pages are never shuffled.
 Equal wrappers count once and the alignment is the same in any order. Null and empty html give empty text.
 Null urls and urls without a host are one host. Unclosed, stray and mis-nested tags are tolerated. Pages
-repeated are extracted each by itself. Only the named columns are read.
+repeated are extracted each by itself. Empty tables give no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
