@@ -15,8 +15,8 @@ Rows with equal ids are rows of their own. Null ids are no component's smallest
 in slices of their shingles. Empty tables give no rows. Columns of any name pass through unread. Texts whose sets
 have equal 64-bit hashes throughout are one class: two sets of n shingles that differ by one do so with odds 2**-64.
 
-A text, bucket, centre or group that very many rows hold is looked up in salted parts, and what two blocks of a
-cluster share is dealt by a key of the pair, so no task gets all of it.
+A text, centre or group that very many rows hold is looked up in salted parts, hot buckets by broadcast, and what two
+blocks of a cluster share is dealt by a key of the pair, so no task gets all of it.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ ELEMENTS = 1 << 16
 CENTRES, BLOCK_BYTES, ROW_BYTES = 2, 2 << 20, 2048
 #: Shingles of texts just compared that a task keeps.
 KNOWN_SHINGLES = 200_000
-#: A bucket with more than this share of all places is hot, so no more than HOT buckets are.
-HOT = 4096
+#: A bucket with more than this part of all places, and more rows than these, is hot: no more than HOT buckets are.
+HOT, HOT_ROWS = 4096, 100_000
 
 def words(text: str | None) -> list[bytes]:
     """Runs of characters other than ASCII white space, A-Z lower-cased."""
@@ -240,14 +240,14 @@ def in_both(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def within_blocks(open_members: DataFrame, texts: DataFrame) -> DataFrame:
+def within_blocks(open_members: DataFrame, texts: DataFrame, hot: list[int]) -> DataFrame:
     """Pairs (a, b) of different groups that share a bucket and whose sets are alike enough by their hashes.
 
     open_members: bucket, node, root. Members that buckets connect are a cluster; a cluster is cut into blocks of
     bounded size, and each two blocks of it meet in one task, which gives out only what it found.
     """
     centre = open_members.groupBy("bucket").agg(F.min("node").alias("b"))
-    reach = components(salted_lookup(open_members.select("bucket", F.col("node").alias("a")), centre, "bucket", "a").where("a != b").select("a", "b").distinct())
+    reach = components(by_bucket(open_members.select("bucket", F.col("node").alias("a")), centre, hot).where("a != b").select("a", "b").distinct())
     each = open_members.groupBy("node", "root").agg(F.collect_list("bucket").alias("buckets")).join(reach.withColumnRenamed("root", "cluster"), "node")
 
     def make():
@@ -286,22 +286,27 @@ def within_blocks(open_members: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.groupBy("pair").applyInArrow(meet, "a binary, b binary")
 
 
-def in_buckets(each: DataFrame, crowded: DataFrame) -> DataFrame:
-    """The rows of each whose bucket is crowded. Hot buckets, HOT at most, are broadcast; the others meet by bucket."""
+def hot_buckets(crowded: DataFrame) -> list[int]:
+    """Buckets that hold more than a part 1 / HOT of all places: HOT at most."""
     places = crowded.agg(F.sum("many")).first()[0] or 0
-    hot = [r[0] for r in crowded.where(F.col("many") > max(100_000, places // HOT)).select("bucket").collect()]
+    return [r[0] for r in crowded.where(F.col("many") > max(HOT_ROWS, places // HOT)).select("bucket").collect()]
+
+
+def by_bucket(rows: DataFrame, table: DataFrame, hot: list[int]) -> DataFrame:
+    """rows join table by bucket, which table has once: of hot buckets its few short rows are broadcast, so none is one task's."""
     if not hot:
-        return each.join(crowded.select("bucket"), "bucket")
-    few = F.broadcast(each.sparkSession.createDataFrame([(h,) for h in hot], "bucket bigint"))
-    cool = each.join(few, "bucket", "left_anti").join(crowded.select("bucket"), "bucket")
-    return each.join(few, "bucket", "left_semi").select(*cool.columns).unionByName(cool)
+        return rows.join(table, "bucket")
+    few = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot], "bucket bigint"))
+    cool = rows.join(few, "bucket", "left_anti").join(table, "bucket")
+    return rows.join(F.broadcast(table.join(few, "bucket", "left_semi")), "bucket").select(*cool.columns).unionByName(cool)
 
 
 def grouped(classes: DataFrame, texts_of) -> DataFrame:
     """(node, root) of the classes that link with others. classes: node, n_shingles, bands; texts_of(nodes): node, text."""
     each = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     crowded = cut_lineage(each.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1"))
-    members = cut_lineage(in_buckets(each, crowded))
+    hot = hot_buckets(crowded)
+    members = cut_lineage(by_bucket(each, crowded.select("bucket"), hot))
     texts = cut_lineage(texts_of(members.select("node").distinct()))
     now, roots, links, tested = members.withColumn("root", F.col("node")), None, None, None
     for turn in range(CENTRES + 1):
@@ -309,7 +314,7 @@ def grouped(classes: DataFrame, texts_of) -> DataFrame:
             # A bucket whose members are all of one group has nothing left to find.
             known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             mixed = known.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("bucket")
-            now = cut_lineage(salted_lookup(known, mixed.withColumn("mixed", F.lit(True)), "bucket", "node").where("mixed").drop("mixed"))
+            now = cut_lineage(by_bucket(known, mixed, hot))
         if now.isEmpty():
             break
         if turn < CENTRES:
@@ -317,11 +322,11 @@ def grouped(classes: DataFrame, texts_of) -> DataFrame:
             centre = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root")).alias("c"))
             b = cut_lineage(centre.select("bucket", F.col("c.node").alias("b"), F.col("c.n").alias("n_b"), F.col("c.root").alias("root_b")))
             alike = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SHARE) & (F.col("root_a") != F.col("root_b"))
-            pairs = salted_lookup(a, b, "bucket", "a").where(alike).select("a", "b").distinct()
+            pairs = by_bucket(a, b, hot).where(alike).select("a", "b").distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
         else:
-            pairs = within_blocks(now.select("bucket", "node", "root"), texts)
+            pairs = within_blocks(now.select("bucket", "node", "root"), texts, hot)
         pairs = cut_lineage(pairs)
         found = cut_lineage(linked(pairs, texts))
         tested = pairs if tested is None else tested.unionByName(pairs)

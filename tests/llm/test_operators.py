@@ -73,7 +73,9 @@ def test_licenses_base_places(spark):
         re.compile(pattern)
 
 
-def test_near_duplicates_equal_all_pairs(spark):
+@pytest.mark.parametrize("hot_rows", [neardup.HOT_ROWS, 3])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(neardup, "HOT_ROWS", hot_rows)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(60)]
     docs = []
