@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import html
 import re
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column
@@ -58,3 +59,10 @@ def sentences(text: pd.Series) -> pd.Series:
     """Offsets of sentences: up to and with a run of . ! ? or a line's end, without the blanks around."""
     spans = lambda t: [{"start": m.start(), "end": m.end()} for m in re.finditer(r"[^\s.!?][^.!?\n]*[.!?]*", t or "")]
     return text.map(spans, na_action=None)
+
+
+@F.pandas_udf(DoubleType())
+def normal_quantile(share: pd.Series) -> pd.Series:
+    """Where the standard normal distribution has so much below it; each distinct share is looked up once a batch."""
+    known = {p: NormalDist().inv_cdf(min(max(p, 1e-9), 1 - 1e-9)) for p in share.dropna().unique()}
+    return share.map(known)

@@ -34,8 +34,8 @@ def unit_blocks(vectors: DataFrame, prefix: str) -> DataFrame:
     return vectors.mapInArrow(run, f"dim int, {prefix}_ids binary, {prefix}_x binary")
 
 
-def top_k(queries: DataFrame, donors: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """query, donor, cosine (to six digits) and rank of the k best donors of each query, itself left out; ties to the smaller id.
+def top_k(queries: DataFrame, donors: DataFrame, id_col: str, vector_col: str, k: int, descending_ids: bool = False) -> DataFrame:
+    """query, donor, cosine (to six digits) and rank of the k best donors of each query, itself left out; ties to the smaller id, or the greater.
 
     Null and empty vectors and those with null or non-finite components take no part. Donor blocks stay where they
     are dealt; a query block goes to every group of them, of which there are as many as tasks run at once.
@@ -52,11 +52,11 @@ def top_k(queries: DataFrame, donors: DataFrame, id_col: str, vector_col: str, k
                 ids, donor = np.frombuffer(ids, np.int64), np.frombuffer(donor, np.int64)
                 s = np.round(np.frombuffer(x).reshape(-1, dim) @ np.frombuffer(y).reshape(-1, dim).T, 6) + 0.0
                 s[ids[:, None] == donor[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(donor, s.shape), -s), axis=1)[:, :k]
+                order = np.lexsort((np.broadcast_to(-donor if descending_ids else donor, s.shape), -s), axis=1)[:, :k]
                 best = np.take_along_axis(s, order, 1)
                 row, col = np.nonzero(best > -np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(donor[order[row, col]], pa.int64()), pa.array(best[row, col], pa.float64())], names=["query", "donor", "cosine"])
 
     met = asked.join(held, ["dim", "group"]).select("dim", "query_ids", "query_x", "donor_ids", "donor_x").mapInArrow(run, "query bigint, donor bigint, cosine double")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "donor"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), F.desc("donor") if descending_ids else F.asc("donor")))
     return met.withColumn("rank", place).where(F.col("rank") <= k)

@@ -110,3 +110,12 @@ def test_bootstrap_repeats_itself_and_sees_a_better_candidate(spark):
     d = spark.createDataFrame([(i % 40, "c", i % 2, 0, i % 2) for i in range(400)], "f int, c string, y int, base int, cand int")
     draw = lambda n: sorted(r.delta for r in comparison.multinomial_bootstrap(d.repartition(n), "f", "c", "y", "base", "cand", 20, "s").collect())
     assert draw(2) == draw(5) and min(draw(3)) > 0.9
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    shares = [0.5, 0.025, 0.9, 0.5, None]
+    d = spark.createDataFrame([(i, s) for i, s in enumerate(shares)], "i int, s double")
+    got = {r.i: r.z for r in d.select("i", U.normal_quantile(F.col("s")).alias("z")).collect()}
+    assert all(abs(got[i] - NormalDist().inv_cdf(s)) < 1e-12 for i, s in enumerate(shares) if s) and got[4] is None
