@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.operators.lineage import cut_lineage
 from shelfwise.operators.windows import ordinal
 
 
@@ -49,16 +50,24 @@ def change(sums: DataFrame, keys: list[str]) -> DataFrame:
     return sums.groupBy(*keys).agg((score[1] - score[0]).alias("delta"))
 
 
+#: Draws that are made at once.
+DRAWS = 10_000
+
+
 def draws(components: DataFrame, by: list[str], repeats: int, seed: Column) -> DataFrame:
     """by, repeat, place and w: as many draws as there are components, with replacement, and how often each was drawn.
 
     components: by and n. A draw is the hash of the repeat and its number, so a lost task draws the same again and no list of
-    components is gathered; draws are counted before they meet the components.
+    components is gathered; parts of the draws are dealt to all tasks, and draws are counted before they meet the components.
+    Spark takes this table for as small as `components`, so it asks for a merge join: it must never be broadcast.
     """
-    each = components.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).select(*by, "n", "repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("j"))
+    last = F.floor((F.col("n") - 1) / DRAWS).cast("bigint")
+    parts = components.where("n > 0").select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")).select(*by, "n", "repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"))
+    dealt = parts.repartition(4 * components.sparkSession.sparkContext.defaultParallelism, *by, "repeat", "part")
+    each = dealt.select(*by, "n", "repeat", F.explode(F.sequence(F.col("part") * DRAWS, F.least((F.col("part") + 1) * DRAWS, "n") - 1)).alias("j"))
     digits = F.substring(F.sha2(F.concat_ws("\0", seed, F.col("repeat").cast("string"), F.col("j").cast("string")), 256), 1, 8)
     place = F.floor(F.conv(digits, 16, 10).cast("bigint") * F.col("n") / 4294967296.0).cast("bigint")
-    return each.select(*by, "repeat", place.alias("place")).groupBy(*by, "repeat", "place").agg(F.count("*").alias("w"))
+    return each.select(*by, "repeat", place.alias("place")).groupBy(*by, "repeat", "place").agg(F.count("*").alias("w")).hint("merge")
 
 
 def multinomial_bootstrap(df: DataFrame, component: str, category: str, label: str, base: str, candidate: str, repeats: int, seed: str) -> DataFrame:
@@ -72,8 +81,7 @@ def multinomial_bootstrap(df: DataFrame, component: str, category: str, label: s
 
 def category_bootstrap(df: DataFrame, component: str, category: str, label: str, base: str, candidate: str, repeats: int) -> DataFrame:
     """repeat, category and delta: components are drawn anew within each category; the category seeds its draws."""
-    numbered = ordinal(df.select(category, component).distinct(), component, component, [category]).select(category, component, F.col("place_").cast("bigint").alias("place"), "n_")
-    drawn = draws(numbered.groupBy(category).agg(F.max("n_").alias("n")), [category], repeats, F.col(category).cast("string"))
-    sums = counted(df, [component, category], label, base, candidate)
-    met = drawn.join(numbered.drop("n_"), [category, "place"]).join(sums, [category, component])
-    return change(met, ["repeat", category])
+    sums = cut_lineage(counted(df, [component, category], label, base, candidate))
+    numbered = ordinal(sums, component, component, [category]).withColumn("place", F.col("place_").cast("bigint"))
+    drawn = draws(sums.groupBy(category).agg(F.count("*").alias("n")), [category], repeats, F.col(category).cast("string"))
+    return change(drawn.join(numbered.select(category, "place", *COUNTS), [category, "place"]), ["repeat", category])

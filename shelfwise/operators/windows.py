@@ -40,13 +40,14 @@ def ordinal(df: DataFrame, score: str, tie: str, by: list[str], descending: bool
     """place_ (from 0, ties by the tie column), average_ (from 1, ties share it), size_ of the tie and n_ of the group.
 
     Equal scores are counted before anything is ordered, so a group of a few categories is no task of its own.
-    Rows whose score or group is null are left out.
+    Rows whose score or group is null are left out. Rows meet the totals of their score where both are sorted: of a table with
+    few columns Spark thinks too little, and would broadcast millions of scores.
     """
     blocks = cut_lineage(df.groupBy(*by, score).agg(F.count("*").alias("size_")))
     seen = running_totals(blocks, score, {"seen_": "size_"}, descending, by)
     n = blocks.groupBy(*by).agg(F.sum("size_").alias("n_"))
     within = F.row_number().over(Window.partitionBy(*by, score).orderBy(tie))
-    out = df.withColumn("in_", within).join(seen, [*by, score]).join(n, by)
+    out = df.withColumn("in_", within).join(seen.hint("merge"), [*by, score]).join(n, by)
     before = F.col("seen_") - F.col("size_")
     return out.select(*df.columns, (before + F.col("in_") - 1).alias("place_"), (before + (F.col("size_") + 1) / 2).alias("average_"), "size_", "n_")
 
