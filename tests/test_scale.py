@@ -15,3 +15,9 @@ def test_draws_are_dealt_and_never_broadcast(spark):
     places = spark.range(25_000).select(F.lit("a").alias("k"), F.col("id").alias("place"))
     assert "Broadcast" not in planned(drawn.join(places, ["k", "place"]))
     assert "RepartitionByExpression" in drawn._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_multinomial_bootstrap_meets_draws_by_merge(spark):
+    d = spark.createDataFrame([(i % 40, "ab"[i % 2], i % 2, i % 3 % 2, i % 5 % 2) for i in range(400)], "family int, category string, label int, base int, cand int")
+    plan = planned(comparison.multinomial_bootstrap(d, "family", "category", "label", "base", "cand", 3, "draw"))
+    assert "SortMergeJoin [place" in plan and "BroadcastHashJoin [place" not in plan
