@@ -1,8 +1,11 @@
 """Plans and memory that hold for large tables: what each test looks at is small."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from shelfwise.operators import comparison
+from shelfwise.operators import comparison, dense
 
 
 def planned(df):
@@ -21,3 +24,27 @@ def test_multinomial_bootstrap_meets_draws_by_merge(spark):
     d = spark.createDataFrame([(i % 40, "ab"[i % 2], i % 2, i % 3 % 2, i % 5 % 2) for i in range(400)], "family int, category string, label int, base int, cand int")
     plan = planned(comparison.multinomial_bootstrap(d, "family", "category", "label", "base", "cand", 3, "draw"))
     assert "SortMergeJoin [place" in plan and "BroadcastHashJoin [place" not in plan
+
+
+def test_nearest_vectors_over_shards_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(dense, "SHARD_BYTES", 200)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-1, 2, (90, 3)).astype(float)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    s = np.round(unit @ unit.T, 6) + 0.0
+    for back in (False, True):
+        want = {i: [(j, s[i, j]) for j in sorted((j for j in range(90) if j != i), key=lambda j: (-s[i, j], -j if back else j))[:4]] for i in range(0, 90, 7)}
+        got = {}
+        for r in sorted(dense.top_k(e.where("vec_id % 7 = 0"), e, "vec_id", "v", 4, back).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query"], []).append((r["donor"], r["cosine"]))
+        assert got == want
+
+
+def test_scores_of_nearest_vectors_stay_small():
+    x = np.random.default_rng(6).normal(size=(20_000, 8))
+    tracemalloc.start()
+    at, donors, _ = dense.best_of(np.arange(256), x[:256], np.arange(20_000), x, 5, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(at) == 256 * 5 and peak < 48 << 20
