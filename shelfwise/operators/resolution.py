@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,51 @@ def overlap_pairs(rows: DataFrame, node: str, items: Column, least: int, share:
     return out.where(F.col("jaccard") >= share).select("a", "b", "rare", "jaccard")
 
 
+#: Rows of a group that meet at once, and items whose places are counted at once.
+BLOCK_ROWS, ITEMS_AT_ONCE = 1024, 4096
+
+
+def shared_counts(one: pa.ListArray, other: pa.ListArray) -> np.ndarray:
+    """How many items each set of one shares with each of the other, by products of 0/1 matrices."""
+    both = pa.concat_arrays([one, other])
+    coded = both.flatten().dictionary_encode()
+    rows, items = pa.compute.list_parent_indices(both).to_numpy(), coded.indices.to_numpy()
+    out = np.zeros((len(one), len(other)), np.float32)
+    for start in range(0, len(coded.dictionary), ITEMS_AT_ONCE):
+        some = (items >= start) & (items < start + ITEMS_AT_ONCE)
+        held = np.zeros((len(both), min(ITEMS_AT_ONCE, len(coded.dictionary) - start)), np.float32)
+        held[rows[some], items[some] - start] = 1
+        out += held[: len(one)] @ held[len(one) :].T
+    return out
+
+
+def contained_pairs(rows: DataFrame, node: str, by: list[str], items: str) -> DataFrame:
+    """a, b and containment (to nine digits) of all pairs a < b that share the columns `by`: what of the lesser set of items the other holds.
+
+    A group is cut into blocks of about BLOCK_ROWS rows and each pair of blocks is one piece of work, so a group of any size is
+    spread; items are strings, distinct within a row. Rows where a column of `by` is null meet nothing.
+    """
+    rows = rows.select(*by, F.col(node).cast("bigint").alias("node"), F.col(items).alias("items")).dropna(subset=by)
+    blocks = rows.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    each = rows.join(blocks, by).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    each = each.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = [F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")]
+
+    def run(table: pa.Table) -> pa.Table:
+        at = pa.compute.equal(table.column("block"), table.column("low"))
+        inside = table.column("low")[0].as_py() == table.column("high")[0].as_py()
+        one, other = (table, table) if inside else (table.filter(at), table.filter(pa.compute.invert(at)))
+        ids = [x.column("node").to_numpy() for x in (one, other)]
+        sets = [x.column("items").combine_chunks() for x in (one, other)]
+        least = np.minimum.outer(*(pa.compute.list_value_length(x).to_numpy() for x in sets))
+        i, j = np.nonzero(np.less.outer(*ids) if inside else np.not_equal.outer(*ids))
+        share = shared_counts(*sets)[i, j].astype(np.float64) / np.maximum(least[i, j], 1)
+        a, b = ids[0][i], ids[1][j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "containment": np.floor(share * 1e9 + 0.5) / 1e9})
+
+    return each.select(*by, *cell, "block", "node", "items").groupBy(*by, "low", "high").applyInArrow(run, "a bigint, b bigint, containment double")
+
+
 def hamming_pairs(rows: DataFrame, node: str, value: str, bits: int, most: int) -> DataFrame:
     """Pairs (a, b, distance) whose values differ in at most `most` of their bits.
 

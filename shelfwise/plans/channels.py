@@ -39,8 +39,7 @@ SHINGLES = "list_distinct(list_transform(range(1, length({0}) + 3), lambda i: su
 def fn18_containment(t):
     """What of the lesser set of shingles the other holds."""
     d = t("part").select("p_partkey", "p_brand", "p_size", T.char_shingles(c("p_name")).alias("s"))
-    a, b = (d.select("p_brand", "p_size", c("p_partkey").alias(n), c("s").alias(f"s_{n}")) for n in "ab")
-    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(T.containment(c("s_a"), c("s_b")), 9).alias("containment"))
+    return resolution.contained_pairs(d, "p_partkey", ["p_brand", "p_size"], "s")
 
 
 @query("SELECT query, list(donor ORDER BY donor) AS donors FROM (SELECT a.id AS query, b.id AS donor, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS r FROM cards a JOIN cards b ON a.family = b.family AND a.fold <> b.fold) WHERE r <= 6 GROUP BY query")

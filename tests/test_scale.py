@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
-from shelfwise.operators import comparison, dense
+from shelfwise.operators import comparison, dense, resolution
 
 
 def planned(df):
@@ -48,3 +48,13 @@ def test_scores_of_nearest_vectors_stay_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(at) == 256 * 5 and peak < 48 << 20
+
+
+def test_contained_pairs_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(resolution, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(resolution, "ITEMS_AT_ONCE", 5)
+    sets = {i: sorted({f"x{i * k % 13}" for k in range(1, 1 + i % 6)}) for i in range(60)}
+    d = spark.createDataFrame([(i, "a" if i < 50 else "b" if i < 58 else None, s) for i, s in sets.items()], "id long, k string, s array<string>")
+    share = lambda a, b: round(len(set(sets[a]) & set(sets[b])) / min(len(sets[a]), len(sets[b])), 9) if sets[a] and sets[b] else 0.0
+    want = sorted((a, b, share(a, b)) for a in range(58) for b in range(a + 1, 58) if (a < 50) == (b < 50))
+    assert sorted(map(tuple, resolution.contained_pairs(d, "id", ["k"], "s").collect())) == want
