@@ -52,7 +52,7 @@ def composed(name: Column, description: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(normalized(text), " "), lambda t: t != "")
+    return F.array_remove(F.split(normalized(text), " "), "")
 
 
 def token_signature(text: Column, least: int = 3) -> Column:

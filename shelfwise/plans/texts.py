@@ -50,7 +50,7 @@ def str19_word_bound_grams(d):
 
 @query(f"WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents) SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS bigram FROM w", "documents")
 def str20_word_bigrams(d):
-    return d.select("doc_id", F.explode(T.windows(T.tokens(c("text")), 2, " ")).alias("bigram"))
+    return d.select("doc_id", F.explode(T.word_shingles(c("text"), 2)).alias("bigram"))
 
 
 @query(r"SELECT doc_id, CAST(nullif(strpos(lower(coalesce(text, '')), 'license'), 0) AS INTEGER) AS found, CASE WHEN strpos(lower(coalesce(text, '')), 'license') > 0 THEN substring(text, greatest(1, strpos(lower(text), 'license') - 20), 47) END AS context FROM documents", "documents")

@@ -5,7 +5,11 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
+from shelfwise import plans  # noqa: F401  (registers its queries)
 from shelfwise.operators import comparison, dense, resolution
+from shelfwise.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def planned(df):
@@ -58,3 +62,8 @@ def test_contained_pairs_over_blocks(spark, monkeypatch):
     share = lambda a, b: round(len(set(sets[a]) & set(sets[b])) / min(len(sets[a]), len(sets[b])), 9) if sets[a] and sets[b] else 0.0
     want = sorted((a, b, share(a, b)) for a in range(58) for b in range(a + 1, 58) if (a < 50) == (b < 50))
     assert sorted(map(tuple, resolution.contained_pairs(d, "id", ["k"], "s").collect())) == want
+
+
+def test_bigrams_normalise_a_text_once(spark):
+    plan = QUERIES["str20_word_bigrams"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<[^>]+>") == 1
