@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import text as T
 from shelfwise.operators import metrics, priors, resolution, retrieval, splits, windows
-from shelfwise.operators.lineage import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -417,12 +416,8 @@ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC,
 
 @query(f"{TERMS} SELECT query, donor, rank FROM k WHERE rank <= 10")
 def ret4_bm25(t):
-    docs = t("documents").select("doc_id", "text")
-    queries = asked(t("benchmark"))
-    whole = cut_lineage(docs.select("doc_id", T.tokens(c("text")).alias("tokens")))
-    n, mean = whole.agg(F.count("*"), F.avg(F.size("tokens"))).first()
-    held = retrieval.held_terms(whole, "doc_id", c("tokens"), queries)
-    return retrieval.search(queries, retrieval.bm25(held, n, mean or 1.0), 10).select("query", "donor", "rank")
+    docs = t("documents").select(c("doc_id").alias("node"), T.normalized(c("text")).alias("words"))
+    return retrieval.best_donors(docs, asked(t("benchmark")), 10, (1.5, 0.75)).select("query", "donor", "rank")
 
 
 @query("""WITH a AS (SELECT id AS query, 'score' AS channel, id + 1 AS donor, CAST(1 + id % 7 AS INTEGER) AS rank FROM cards), b AS (SELECT id AS query, 'text' AS channel, id + 1 + id % 2 AS donor, CAST(1 + id % 3 AS INTEGER) AS rank FROM cards),

@@ -1,12 +1,13 @@
 """Plans and memory that hold for large tables: what each test looks at is small."""
 
+import math
 import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from shelfwise import plans  # noqa: F401  (registers its queries)
-from shelfwise.operators import comparison, dense, resolution
+from shelfwise.operators import comparison, dense, resolution, retrieval
 from shelfwise.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -61,9 +62,28 @@ def test_contained_pairs_over_blocks(spark, monkeypatch):
     d = spark.createDataFrame([(i, "a" if i < 50 else "b" if i < 58 else None, s) for i, s in sets.items()], "id long, k string, s array<string>")
     share = lambda a, b: round(len(set(sets[a]) & set(sets[b])) / min(len(sets[a]), len(sets[b])), 9) if sets[a] and sets[b] else 0.0
     want = sorted((a, b, share(a, b)) for a in range(58) for b in range(a + 1, 58) if (a < 50) == (b < 50))
-    assert sorted(map(tuple, resolution.contained_pairs(d, "id", ["k"], "s").collect())) == want
+    assert sorted(map(tuple, resolution.contained_pairs(d, "id", ["k"], "s").collect())) == sorted(want)
 
 
 def test_bigrams_normalise_a_text_once(spark):
     plan = QUERIES["str20_word_bigrams"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<[^>]+>") == 1
+
+
+def test_best_donors_in_parts_equal_plain_search(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 3)
+    monkeypatch.setattr(retrieval, "POSTINGS_AT_ONCE", 7)
+    docs = {i: [f"w{i * k % 11}" for k in range(1, 2 + i % 7)] if i % 9 else [] for i in range(40)}
+    asked = {q: sorted({f"w{q * k % 14}" for k in range(1, 5)}) for q in range(10)}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "node long, words string")
+    a = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query long, term string")
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = {t: sum(t in w for w in docs.values()) for ts in asked.values() for t in ts}
+    bm = lambda q, i: round(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * docs[i].count(t) * 2.5 / (docs[i].count(t) + 1.5 * (0.25 + 0.75 * len(docs[i]) / mean)) for t in asked[q] if t in docs[i]), 6)
+    for of, own, f in ((None, True, lambda q, i: float(sum(t in docs[i] for t in asked[q]))), ((1.5, 0.75), False, bm)):
+        want = []
+        for q in asked:
+            met = sorted((-f(q, i), i) for i in docs if set(asked[q]) & set(docs[i]) and (own or i != q))[:4]
+            want += [(q, i, -s, place) for place, (s, i) in enumerate(met, 1)]
+        assert sorted(map(tuple, retrieval.best_donors(d, a, 4, of).select("query", "donor", "score", "rank").collect())) == sorted(want)
+    assert retrieval.best_donors(d, a.where("query < 0"), 4).count() == 0
