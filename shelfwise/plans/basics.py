@@ -190,9 +190,8 @@ def jn13_donor_cascade(t):
 def jn18_postings_hits(t):
     """Donors that hold most of a query's terms, by the postings of those terms only."""
     asked = t("benchmark").select(c("item_id").alias("query"), F.explode(F.array_distinct(T.tokens(c("text")))).alias("term"))
-    held = retrieval.held_terms(t("documents"), "doc_id", T.tokens(c("text")), asked).select("term", c("node").alias("donor")).distinct()
-    hits = asked.join(held, "term").groupBy("query", "donor").agg(F.count("*").alias("hits"))
-    return windows.top_per_group(hits, ["query"], [F.desc("hits"), c("donor")], 5).select("query", "donor", "hits", c("place").alias("rank"))
+    docs = t("documents").select(c("doc_id").alias("node"), T.normalized(c("text")).alias("words"))
+    return retrieval.best_donors(docs, asked, 5).select("query", "donor", c("score").cast("bigint").alias("hits"), "rank")
 
 
 DENSE = "SELECT a.vec_id AS query, b.vec_id AS donor, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"
