@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from shelfwise.functions import text as T
-from shelfwise.operators.lineage import cut_lineage
+from shelfwise.operators.lineage import cut_lineage, drop_tables
 from shelfwise.operators.resolution import components
 
 #: The stages in the order in which their edges are replayed, the caps, and the least likeness of descriptions.
@@ -221,7 +221,7 @@ def safe_edges(edges: DataFrame, cards: DataFrame, images: DataFrame) -> DataFra
     A veto looks only within what all edges together connect, so each such component, which the degree caps keep small,
     is replayed by itself.
     """
-    kind, edges = cards.schema["id"].dataType, cut_lineage(edges)
+    kind, edges = cards.schema["id"].dataType, cut_lineage(edges.select("stage", "left_id", "right_id", "key"))
     ends = edges.select(c("left_id").alias("node")).unionByName(edges.select(c("right_id").alias("node"))).distinct()
     reach = components(ends, edges.select("left_id", "right_id"))
     firsts = F.concat(
@@ -251,17 +251,31 @@ def safe_edges(edges: DataFrame, cards: DataFrame, images: DataFrame) -> DataFra
 
 
 def stage_audit(nodes: DataFrame, edges: DataFrame, label: str, category: str) -> DataFrame:
-    """After each stage's edges: components, the largest, and how many mix labels or categories. nodes: id, label and category."""
+    """After each stage's edges: components, the largest, and how many mix labels or categories. nodes: id, label and category.
+
+    A stage joins the components of the one before, so only its own edges are walked; its row is written at once and what
+    the stage before left is deleted.
+    """
     out, edges = None, cut_lineage(edges)
+    reach = nodes.select(c("id").alias("node"), c("id").alias("component")).distinct()
     for i, stage in enumerate(STAGES):
-        some = edges.where(c("stage").isin(*STAGES[: i + 1]))
-        reach = components(nodes.select(c("id").alias("node")), some.select("left_id", "right_id"))
+        some = edges.where(c("stage") == stage).select("left_id", "right_id")
+        for end in ("left_id", "right_id"):
+            some = some.join(reach.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        some = cut_lineage(some.select("left_id", "right_id").where("left_id != right_id").distinct())
+        ends = some.select(c("left_id").alias("node")).unionByName(some.select(c("right_id").alias("node"))).distinct()
+        merged = components(ends, some)
+        up = merged.select(c("node").alias("component"), c("component").alias("up"))
+        moved = cut_lineage(reach.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        drop_tables(some, merged, reach)
+        reach = moved
         each = nodes.join(reach.withColumnRenamed("node", "id"), "id").groupBy("component").agg(
             F.count("*").alias("size"), *((F.min(k) != F.max(k)).cast("bigint").alias(f"mixed_{n}") for n, k in (("labels", label), ("categories", category)))
         )
         row = each.agg(F.count("*").alias("components"), F.max("size").alias("largest"), F.sum("mixed_labels").alias("mixed_labels"), F.sum("mixed_categories").alias("mixed_categories"))
-        row = row.select(F.lit(i).alias("place"), F.lit(stage).alias("stage"), *row.columns)
+        row = cut_lineage(row.select(F.lit(i).alias("place"), F.lit(stage).alias("stage"), *row.columns))
         out = row if out is None else out.unionByName(row)
+    drop_tables(edges, reach)
     return out
 
 

@@ -24,8 +24,19 @@ def shared_folder(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, read from a table in the shared folder: computed once, where checkpoint() computes them twice.
 
-    The table stays until the folder goes, as files of checkpoints do where their cleaning is off.
+    The table stays until drop_tables() or the folder goes, as files of checkpoints do where their cleaning is off.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path_ = path
+    return out
+
+
+def drop_tables(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that cut_lineage() gave and nothing will read again; other frames are left alone."""
+    for df in frames:
+        if path := vars(df).get("table_path_"):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)

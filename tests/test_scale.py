@@ -1,13 +1,14 @@
 """Plans and memory that hold for large tables: what each test looks at is small."""
 
 import math
+import os
 import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from shelfwise import plans  # noqa: F401  (registers its queries)
-from shelfwise.operators import comparison, dense, resolution, retrieval
+from shelfwise.operators import comparison, dense, lineage, resolution, retrieval
 from shelfwise.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +88,11 @@ def test_best_donors_in_parts_equal_plain_search(spark, monkeypatch):
             want += [(q, i, -s, place) for place, (s, i) in enumerate(met, 1)]
         assert sorted(map(tuple, retrieval.best_donors(d, a, 4, of).select("query", "donor", "score", "rank").collect())) == sorted(want)
     assert retrieval.best_donors(d, a.where("query < 0"), 4).count() == 0
+
+
+def test_components_leave_one_table(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 7], "left_id long, right_id long")
+    folder = lineage.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = resolution.components(spark.range(61).select(F.col("id").alias("node")), edges)
+    assert found.where("component = 1").count() == 7 and len(set(os.listdir(folder)) - before) == 1
