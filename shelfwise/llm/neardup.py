@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.batches import map_slices, packed
-from shelfwise.llm.tables import cut_lineage, salted_lookup
+from shelfwise.llm.tables import among, cut_lineage, salted_lookup
 
 SHINGLE, PLACES, ROWS = 5, 128, 4
 SHARE = 75  # of the union, in hundredths
@@ -160,8 +160,6 @@ def features(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts' sets are alike enough, compared word by word."""
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, set[bytes]] = {}
@@ -185,7 +183,10 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(100 * both >= SHARE * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = salted_lookup(pairs, two, "b", "a").where("text_b is not null").join(one, "a").select("a", "b", "text_a", "text_b")
+    # Both sides read the texts under the same names, so that one shuffle of them serves both.
+    texts = texts.where("text is not null")
+    both = salted_lookup(pairs.withColumnRenamed("b", "node"), texts, "node", "a").select(F.col("a").alias("node"), F.col("node").alias("b"), F.col("text").alias("text_b"))
+    both = both.where("text_b is not null").join(texts, "node").select(F.col("node").alias("a"), "b", F.col("text").alias("text_a"), "text_b")
     return both.mapInArrow(run, "a binary, b binary")
 
 
@@ -306,7 +307,7 @@ def grouped(classes: DataFrame, texts_of) -> DataFrame:
     each = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     crowded = cut_lineage(each.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1"))
     hot = hot_buckets(crowded)
-    members = cut_lineage(by_bucket(each, crowded.select("bucket"), hot))
+    members = cut_lineage(by_bucket(among(each, crowded, "bucket"), crowded.select("bucket"), hot))
     texts = cut_lineage(texts_of(members.select("node").distinct()))
     now, roots, links, tested = members.withColumn("root", F.col("node")), None, None, None
     for turn in range(CENTRES + 1):
@@ -346,8 +347,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         keys = classes.join(nodes, "node").select("key", "node")
-        distinct = df.select(F.unhex(F.md5(F.col(text_col))).alias("key"), F.col(text_col).alias("text")).where("key is not null")
-        return distinct.join(keys, "key").groupBy("node").agg(F.first("text").alias("text"))
+        each = df.where(F.col(text_col).isNotNull()).select(F.unhex(F.md5(F.col(text_col))).alias("key"), F.col(text_col).alias("text"))
+        return among(each, keys, "key").groupBy("key").agg(F.first("text").alias("text")).join(keys, "key").select("node", "text")
 
     roots = grouped(classes.select("node", "n_shingles", "bands"), texts_of)
     known = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

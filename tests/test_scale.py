@@ -1,5 +1,6 @@
 """Plans and memory that hold for large tables: what each test looks at is small."""
 
+import hashlib
 import math
 import os
 import tracemalloc
@@ -8,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from shelfwise import plans  # noqa: F401  (registers its queries)
+from shelfwise.llm import neardup, tables
 from shelfwise.operators import comparison, dense, lineage, resolution, retrieval
 from shelfwise.queries import QUERIES
 
@@ -96,3 +98,36 @@ def test_components_leave_one_table(spark):
     before = set(os.listdir(folder))
     found = resolution.components(spark.range(61).select(F.col("id").alias("node")), edges)
     assert found.where("component = 1").count() == 7 and len(set(os.listdir(folder)) - before) == 1
+
+
+def test_keys_are_among_their_own_rows_for_any_number_of_marks(spark, monkeypatch):
+    keys = spark.range(0, 300, 3).selectExpr("cast(id as string) as k")
+    rows = spark.range(6000).selectExpr("id", "CASE WHEN id > 0 THEN cast(id as string) END AS k")
+    want = {i for i in range(3, 300, 3)}
+    for marks, most in ((tables.MARKS, 110), (1, 6000)):
+        monkeypatch.setattr(tables, "MARKS", marks)
+        got = {r.id for r in tables.among(rows, keys, "k").collect()}
+        assert want <= got and len(got) <= most
+    assert tables.among(rows, keys.limit(0), "k").count() == 0
+
+
+def test_texts_without_a_near_one_are_not_shuffled(spark):
+    text = lambda i, n: " ".join(hashlib.sha256(f"{i} {j}".encode()).hexdigest() for j in range(n))
+    docs = [(i, text(i, 200)) for i in range(300)] + [(300, text(7, 190)), (301, text(8, 200))]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).localCheckpoint()
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = {r.doc_id: r.component_id for r in neardup.groups(d).collect()}
+        took = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {i: {300: 7, 301: 8}.get(i, i) for i in range(302)}
+    assert took < sum(len(t) for _, t in docs) / 4
