@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Bytes of Arrow data turned into Python objects at a time.
 SLICE_BYTES = 4 << 20
+#: Spark's own limit of a batch's bytes, 64 MB unless it is set.
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,6 +27,15 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands workers Arrow batches of about SLICE_BYTES, or of less where less is set; the rows stay the same.
+
+    A task holds a batch several times: as vectors that double as they grow, in the buffer to its worker, and in the worker.
+    """
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > SLICE_BYTES:
+        spark.conf.set(BATCH_LIMIT, SLICE_BYTES)
+
+
 def map_slices(df: DataFrame, schema: str, make: Callable[[], Callable[..., list[tuple]]], limit: int = SLICE_BYTES) -> DataFrame:
     """Any number of output rows for a slice: make() gives, once a task, the function of a slice's columns as lists."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -56,8 +67,8 @@ def packed(df: DataFrame, **values: str | Column) -> DataFrame:
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("kept"), *((F.col(f"`{v}`") if isinstance(v, str) else v).alias(k) for k, v in values.items()))
 
 
-def map_beside(df: DataFrame, passed: list[str], read: list[str], schema: str, make: Callable[[], Callable[..., tuple]], limit: int = SLICE_BYTES) -> DataFrame:
-    """The columns `passed` as they are, beside new ones: make() gives, once a task, the function of the values of the columns `read`.
+def map_arrays(df: DataFrame, passed: list[str], read: list[str], schema: str, make: Callable[[], Callable[..., list[pa.Array]]], limit: int = SLICE_BYTES) -> DataFrame:
+    """The columns `passed` as they are, beside new ones: make() gives, once a task, the function of a slice's columns `read`, arrays to arrays.
 
     What is passed stays Arrow data, so types and long texts are never turned into Python objects.
     """
@@ -66,16 +77,31 @@ def map_beside(df: DataFrame, passed: list[str], read: list[str], schema: str, m
     places, inputs = ([df.columns.index(c) for c in names] for names in (passed, read))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = make()
+        arrays = make()
         for batch in batches:
             for part in slices(batch, limit):
-                rows = [row(*values) for values in zip(*(part.column(i).to_pylist() for i in inputs), strict=True)]
-                made = [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), new, strict=True)]
+                made = [a.cast(f.type) for a, f in zip(arrays(*(part.column(i) for i in inputs)), new, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *made], names=wanted.names)
 
     return df.mapInArrow(run, wanted)
 
 
+def map_beside(df: DataFrame, passed: list[str], read: list[str], schema: str, make: Callable[[], Callable[..., tuple]], limit: int = SLICE_BYTES) -> DataFrame:
+    """The columns `passed` as they are, beside new ones: make() gives, once a task, the function of the values of the columns `read`."""
+    new = to_arrow_schema(StructType.fromDDL(schema))
+
+    def make_arrays():
+        row = make()
+
+        def arrays(*columns):
+            rows = [row(*values) for values in zip(*(c.to_pylist() for c in columns), strict=True)]
+            return [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), new, strict=True)]
+
+        return arrays
+
+    return map_arrays(df, passed, read, schema, make_arrays, limit)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, UPPER, LOWER)

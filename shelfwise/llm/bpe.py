@@ -21,10 +21,14 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from shelfwise.llm.batches import map_slices
-
-#: Chunks of text that a worker remembers, twice over, and the longest of them; bytes of the largest tree of the batches.
-KNOWN_CHUNKS, KNOWN_CHARS, TREE_BYTES = 300_000, 64, 64
+from shelfwise.llm.batches import map_arrays, map_slices
+
+#: Bytes of the chunks of text that a worker remembers, twice over, and characters of the longest; bytes of the largest tree of the batches.
+KNOWN_BYTES, KNOWN_CHARS, TREE_BYTES = 24 << 20, 64, 64
+#: Bytes of Arrow data encoded at a time: tokens, their places and what they decode to take some 30 times as much.
+CODED_BYTES = 1 << 20
+#: A remembered chunk's place in its dictionary, in bytes.
+PLACE_BYTES = 100
 #: The pattern whose matches can be cut as Codec says, and the white space that stands in the way.
 CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 UNEVEN_SPACE = r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\t\x0B-\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -169,6 +173,7 @@ class Codec:
         self.trees = Trees(self.ranks)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def merged(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of distinct pieces, as 32-bit integers."""
@@ -202,8 +207,6 @@ class Codec:
 
     def ids_of(self, chunks: list[str]) -> list[bytes]:
         """The ids of distinct chunks, as 32-bit integers."""
-        if len(self.known) > KNOWN_CHUNKS:
-            self.known, self.older = {}, self.known
         out = [self.known.get(c) for c in chunks]
         missing = [(at, c) for at, c in enumerate(chunks) if out[at] is None]
         new = []
@@ -212,14 +215,20 @@ class Codec:
             if got is None:
                 new.append((at, c, self.find(c)))
             else:
-                self.known[c] = got
+                self.remember(c, got)
         ids = self.merged(set().union(*(pieces for _, _, pieces in new)))
         for at, c, pieces in new:
             out[at] = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
             if len(c) <= KNOWN_CHARS:
-                self.known[c] = out[at]
+                self.remember(c, out[at])
         return out
 
+    def remember(self, chunk: str, ids: bytes) -> None:
+        if self.held > KNOWN_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
+        self.known[chunk] = ids
+        self.held += sys.getsizeof(chunk) + sys.getsizeof(ids) + PLACE_BYTES
+
     def encode_many(self, texts: list[str]) -> pa.ListArray:
         """Each text's ids, as list<int32>."""
         nul = [at for at, t in enumerate(texts) if "\0" in t]
@@ -292,9 +301,9 @@ def encode(df: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc
 
     def make():
         c = codec(data.value, pattern)
-        return lambda *columns: list(zip(*columns[:-1], c.encode_many([t or "" for t in columns[-1]]).to_pylist()))
+        return lambda texts: [c.encode_many(pc.fill_null(texts, "").to_pylist())]
 
-    return map_slices(df.select(*keep, text_col), _schema(df, keep, "ids array<int>"), make)
+    return map_arrays(df.select(*dict.fromkeys((*keep, text_col))), [*keep], [text_col], "ids array<int>", make, CODED_BYTES)
 
 
 def encode_checked(df: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -304,14 +313,14 @@ def encode_checked(df: DataFrame, path: str, pattern: str, keep: tuple[str, ...]
     def make():
         c = codec(data.value, pattern)
 
-        def rows(*columns):
-            ids = c.encode_many([t or "" for t in columns[-1]])
-            same = [b == (t or "").encode() for b, t in zip(c.decode_many(ids).to_pylist(), columns[-1])]
-            return list(zip(*columns[:-1], np.diff(ids.offsets.to_numpy()).tolist(), ids.to_pylist(), same))
+        def arrays(texts):
+            texts = pc.fill_null(texts, "")
+            ids = c.encode_many(texts.to_pylist())
+            return [pc.list_value_length(ids), ids, pc.equal(c.decode_many(ids), texts.cast(pa.binary()))]
 
-        return rows
+        return arrays
 
-    return map_slices(df.select(*keep, text_col), _schema(df, keep, "n_tokens bigint, ids array<int>, round_trip boolean"), make)
+    return map_arrays(df.select(*dict.fromkeys((*keep, text_col))), [*keep], [text_col], "n_tokens bigint, ids array<int>, round_trip boolean", make, CODED_BYTES)
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -340,4 +349,4 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
 
         return rows
 
-    return map_slices(df.select(id_col, text_col), _schema(df, (id_col,), "n_tokens bigint, ids_sha256 string, decoded_sha256 string"), make)
+    return map_slices(df.select(id_col, text_col), _schema(df, (id_col,), "n_tokens bigint, ids_sha256 string, decoded_sha256 string"), make, CODED_BYTES)
