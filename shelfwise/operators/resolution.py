@@ -8,7 +8,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.operators.lineage import cut_lineage, drop_tables
+from shelfwise.operators.lineage import cut_lineage, drop_tables, settled
 from shelfwise.operators.windows import bucketed, ordinal
 
 
@@ -29,17 +29,17 @@ def key_degrees(rows: DataFrame, key: str, node: str, cap: int) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     """node and component, the smallest node it is connected to: hooking to the smallest neighbour, and doubling paths."""
     mapping = nodes.select(F.col(node).alias("node"), F.col(node).alias("component")).distinct()
-    left = cut_lineage(edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).where("a != b"))
+    left = settled(edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).where("a != b"))
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        once = cut_lineage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("component"), F.least("a", "b").alias("up")))
+        once = settled(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("component"), F.least("a", "b").alias("up")))
         twice = once.select(F.col("component").alias("up"), F.col("up").alias("top"))
-        hook = cut_lineage(once.join(twice, "up", "left").select("component", F.coalesce("top", "up").alias("up")))
-        moved = cut_lineage(mapping.join(hook, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        hook = settled(once.join(twice, "up", "left").select("component", F.coalesce("top", "up").alias("up")))
+        moved = settled(mapping.join(hook, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
         ends = left
         for end in ("a", "b"):
             ends = ends.join(hook.withColumnRenamed("component", end), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
-        ends = cut_lineage(ends.select("a", "b").where("a != b").distinct())
+        ends = settled(ends.select("a", "b").where("a != b").distinct())
         drop_tables(once, hook, mapping, left)
         mapping, left = moved, ends
     drop_tables(left)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import time
 import tracemalloc
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import plans  # noqa: F401  (registers its queries)
 from shelfwise.llm import neardup, tables
-from shelfwise.operators import comparison, dense, lineage, resolution, retrieval
+from shelfwise.operators import comparison, dense, family, lineage, resolution, retrieval
 from shelfwise.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -131,3 +132,68 @@ def test_texts_without_a_near_one_are_not_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert got == {i: {300: 7, 301: 8}.get(i, i) for i in range(302)}
     assert took < sum(len(t) for _, t in docs) / 4
+
+
+def shuffled(spark) -> set[str]:
+    """Names of the shuffle files on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def family_of(spark):
+    cards = [(n, f"t{n // 2}", f"n{n // 4}", f"m{n // 4}", f"words {n // 4} here", "x" if n % 5 else "") for n in range(60)]
+    images = [(n, place, f"e{(n + place) // 3}", f"p{(n + place) // 3}") for n in range(60) for place in range(2)]
+    return (
+        spark.createDataFrame(cards, "id long, full_text string, name string, masked string, description string, identity string"),
+        spark.createDataFrame(images, "id long, position int, exact string, perceptual string"),
+    )
+
+
+def gone(spark, before: set[str]) -> bool:
+    """Whether no more shuffle files come to be than there were; Spark deletes them in the background."""
+    for _ in range(50):
+        if not shuffled(spark) - before:
+            return True
+        time.sleep(0.2)
+    return False
+
+
+def test_stage_audit_leaves_no_shuffles_and_few_tables(spark):
+    cards, images = family_of(spark)
+    folder = lineage.shared_folder(spark).removeprefix("file:")
+    before, tables = shuffled(spark), set(os.listdir(folder))
+    edges = family.all_edges(cards, images)
+    audit = family.stage_audit(cards.select("id", F.col("name").alias("label"), F.col("masked").alias("category")), edges, "label", "category")
+    assert gone(spark, before)
+    assert len(set(os.listdir(folder)) - tables) == len(family.STAGES) + 1  # a row of each stage, and the edges
+    held, group, want = edges.collect(), {n: {n} for n in range(60)}, []
+    for stage in family.STAGES:
+        for e in (e for e in held if e.stage == stage):
+            merged = group[e.left_id] | group[e.right_id]
+            group.update(dict.fromkeys(merged, merged))
+        want.append((stage, len({id(g) for g in group.values()}), max(map(len, group.values()))))
+    assert [(r.stage, r.components, r.largest) for r in audit.orderBy("place").collect()] == want
+    assert want[0][1] == 40  # of 30 texts, 10 are torn by their first images
+    assert spark.conf.get(lineage.CLEANED, None) in (None, "false")
+
+
+def test_images_meet_their_cards_where_they_are_numbered(spark):
+    """Lines are dealt out by their orders once, for their positions and for their cards."""
+    from shelfwise.plans import families
+
+    t = lambda name: spark.read.parquet(f"{SF}/{name}.parquet").hint("merge")
+    plan = family.marked(families.images_of(t), families.cards_of(t))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_strong_images_make_up_for_unlike_descriptions(spark):
+    cards = spark.createDataFrame([(n, f"t{n}", "n" if n < 4 else "o", "m", f"{n}" * 9, "" if n == 3 else "x") for n in range(6)], "id long, full_text string, name string, masked string, description string, identity string")
+    images = spark.createDataFrame([(n, 1, "shared", None) for n in range(5)] + [(n, 2, "two", None) for n in (0, 1)], "id long, position int, exact string, perceptual string")
+    found = {(r.left_id, r.right_id, r.degree, r.reason) for r in family.name_edges(cards, images, "name", "exact_name_corroborated").collect()}
+    assert found == {(a, b, 4, "strong_image_pair") for a, b in ((0, 1), (0, 2), (1, 2))}
+
+
+def test_common_keys_go_before_they_are_dealt_out(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "few").otherwise(F.col("id").cast("string")).alias("key"), F.when(F.col("id") % 3 == 1, F.col("id") % 4).otherwise(F.col("id")).alias("id"))
+    left = family.uncrowded(rows, 8)
+    assert left.where("key = 'hot'").isEmpty() and left.count() == 2000
