@@ -197,3 +197,13 @@ def test_common_keys_go_before_they_are_dealt_out(spark):
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "few").otherwise(F.col("id").cast("string")).alias("key"), F.when(F.col("id") % 3 == 1, F.col("id") % 4).otherwise(F.col("id")).alias("id"))
     left = family.uncrowded(rows, 8)
     assert left.where("key = 'hot'").isEmpty() and left.count() == 2000
+
+
+def test_safe_edges_leave_no_shuffles_and_one_table(spark):
+    cards, images = family_of(spark)
+    edges = family.all_edges(cards, images)
+    folder = lineage.shared_folder(spark).removeprefix("file:")
+    before, tables = shuffled(spark), set(os.listdir(folder))
+    safe = family.safe_edges(edges, cards, images)
+    assert gone(spark, before) and len(set(os.listdir(folder)) - tables) == 1
+    assert sorted(tuple(r[:4]) for r in safe.collect()) == sorted((r.stage, r.left_id, r.right_id, r.key) for r in edges.collect())
